@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op10_nearest
 from .bpe import op9_byte_bpe
+from .chat import op5_chat
+from .langid import op7_language
+from .quality import op4_quality
 from .shards import op8_shards
+from .tokencount import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
+    "op7_language": op7_language,
     "op8_shards": op8_shards,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
