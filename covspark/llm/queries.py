@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op10_nearest
 from .bpe import op9_byte_bpe
 from .chat import op5_chat
+from .decontam import op1_decontaminate
 from .langid import op7_language
 from .quality import op4_quality
 from .shards import op8_shards
 from .tokencount import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
