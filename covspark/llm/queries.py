@@ -11,6 +11,7 @@ from .bpe import op9_byte_bpe
 from .chat import op5_chat
 from .decontam import op1_decontaminate
 from .langid import op7_language
+from .neardup import op6_neardup
 from .quality import op4_quality
 from .shards import op8_shards
 from .tokencount import op2_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
+    "op6_neardup": op6_neardup,
     "op7_language": op7_language,
     "op8_shards": op8_shards,
     "op9_byte_bpe": op9_byte_bpe,
