@@ -14,11 +14,13 @@ from .langid import op7_language
 from .neardup import op6_neardup
 from .quality import op4_quality
 from .shards import op8_shards
+from .substrings import op3_substrings
 from .tokencount import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op6_neardup": op6_neardup,
