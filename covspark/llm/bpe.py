@@ -212,11 +212,12 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", k
     return source.mapInArrow(run, schema).select(F.col("k").alias(key), F.col("ids").alias(ids), F.col("b").alias(out))
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode and decode give."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode and decode give; and token_ids, if asked for."""
     both = decode(encode(docs, ranks, pattern), ranks)
     return both.select(
         "doc_id",
+        *(["token_ids"] if ids else []),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

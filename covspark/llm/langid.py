@@ -141,8 +141,8 @@ def phrases(s: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarr
     return out
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, held_out, lang_pred, score for every row.
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: bool = False) -> DataFrame:
+    """key, held_out, lang_pred, score for every row; with carry, a struct of all of docs' columns, row, too.
 
     Learned from rows with a lang whose crc32(key as text) mod 5 is not 0: of each
     lang at most SAMPLE_DOCS texts and SAMPLE_LETTERS symbols, chosen by the key's
@@ -154,7 +154,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     nor learned from.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), whole.alias("row"))
     part = F.crc32(F.col("k").cast("string")) % 5
     nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k", "t"))
     sample = rows.where((part != 0) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).select("l", "k", F.substring("t", 1, 2 * SAMPLE_LETTERS).alias("t")).withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).toPandas()
@@ -177,11 +178,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 else:
                     best, score = np.zeros(len(piece), int), np.zeros(len(piece))
                 names = np.array([*langs, "und"], object)[np.where(known, best, len(langs))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], ["k", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), piece.column(2)], ["k", "lang_pred", "score", "row"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    found = rows.select("k", "t").mapInArrow(run, f"k {kind}, lang_pred string, score double")
-    return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = rows.select("k", "t", "row").mapInArrow(run, f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
+    return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -48,3 +49,15 @@ class Store:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that may be broadcast, after they were counted; beyond it a join is shuffled.
+BROADCAST_IDS = 1 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
+    """docs but those whose key is in ids; a null key stays."""
+    gone = store.keep(ids.select(F.col(key).alias("gone")).where(F.col("gone").isNotNull()).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(key) == F.col("gone"), "left_anti")

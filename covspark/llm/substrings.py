@@ -106,8 +106,9 @@ def _narrow(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, n_words, n_removed, kept (the words left, joined by one space) for every row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """key, text, n_words, n_removed, kept (the words left, joined by one space) for every row;
+    with carry, a struct of all of docs' columns, row, too.
 
     A word goes if a window of so many consecutive words of its text covers it whose word
     sequence also starts at any other place, in the same text or another; windows are
@@ -121,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     if window < 2 * MARGIN + 2 * 2 * 2**ROUNDS - 1:
         raise ValueError("a window must be long enough to hold a symbol and its margins")
     spark, store = docs.sparkSession, Store(docs.sparkSession, "substrings")
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(key, text).alias("row"))
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(key, text).alias("row"), (F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)).alias("all"))
     copies = store.keep(source.where(F.col("t").isNotNull()).groupBy("a", "b").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", "first"), "copies")
     flagged = source.join(_narrow(copies, copies.count()), ["a", "b"], "left")
 
@@ -203,21 +204,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 edges = np.concatenate([[0], np.cumsum(np.bincount(owner, room, len(n)))]).astype(np.int32)
                 kept = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(out))])
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.at])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(removed.astype(np.int64)), kept], ["k", "t", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(removed.astype(np.int64)), kept, part.column(4)], ["k", "t", "n_words", "n_removed", "kept", "all"])
 
     kind = source.schema["k"].dataType.simpleString()
-    told = flagged.select("k", "t", "row", F.col("first").isNotNull().alias("copied"))
+    told = flagged.select("k", "t", "row", "all", F.col("first").isNotNull().alias("copied"))
     n = hits.count()
     marked = hits.select("row")
     none = F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")
     if n <= BROADCAST_ROWS:  # texts without hits needn't move
-        plain = told.join(F.broadcast(marked), "row", "left_anti").select("k", "t", "copied", none)
-        rest = told.join(F.broadcast(marked), "row", "left_semi").join(hits, "row").select("k", "t", "copied", "hits")
+        plain = told.join(F.broadcast(marked), "row", "left_anti").select("k", "t", "copied", none, "all")
+        rest = told.join(F.broadcast(marked), "row", "left_semi").join(hits, "row").select("k", "t", "copied", "hits", "all")
         every = plain.unionByName(rest)
     else:
-        every = told.join(hits, "row", "left").select("k", "t", "copied", "hits")
-    out = every.mapInArrow(remove, f"k {kind}, t string, n_words long, n_removed long, kept string")
-    return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "n_removed", "kept")
+        every = told.join(hits, "row", "left").select("k", "t", "copied", "hits", "all")
+    out = every.mapInArrow(remove, f"k {kind}, t string, n_words long, n_removed long, kept string, all {source.schema['all'].dataType.simpleString()}")
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "n_removed", "kept", *([F.col("all").alias("row")] if carry else []))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
