@@ -354,15 +354,22 @@ def fold(node: Any) -> Any:
         parts = {k: fold(v) if k != "name" else v for k, v in vars(node).items()}
         node = type(node)(**parts)
         if all(isinstance(v, Const) for k, v in parts.items() if k != "name"):
-            return Const(expression(node)({}))
+            return _constant(node)
         return node
     if isinstance(node, Binary):
         node = Binary(node.op, fold(node.left), fold(node.right))
         if isinstance(node.left, Const) and (isinstance(node.right, Const) or node.op in ("and", "or") and bool(node.left.value) == (node.op == "or")):
-            return Const(expression(node)({}))
+            return _constant(node)
     return node
 
 
+def _constant(node: Any) -> Const:
+    try:
+        return Const(expression(node)({}))
+    except TypeError as e:
+        raise TemplateError(str(e)) from e
+
+
 # --- closures
 
 
