@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
         mixed = own.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a.label < b.label")
         if turn < STAR_ROUNDS:
             pivots = own.join(mixed, "key").select("id", "n", "label", F.explode(F.array("a", "b")).alias("p"))
-            pairs = pivots.where((F.col("label") != F.col("p.label")) & linker.fits("n", "p.n")).select("id", F.col("p.id").alias("pivot"))
+            pivots = pivots.where((F.col("label") != F.col("p.label")) & linker.fits("n", "p.n")).groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("votes"))
+            pairs = pivots.withColumn("nth", nth).where(F.col("nth") <= PARTNERS * (turn + 1)).select("id", "pivot")
         else:
             held = linker.hopeful(own.join(mixed.select("key"), "key", "left_semi"))
             other = held.select("key", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("v").alias("w"), F.col("cells").alias("theirs"), F.col("label").alias("its"))
