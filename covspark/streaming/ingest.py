@@ -19,7 +19,8 @@ from ..operators.kb import KnowledgeBase
 from ..plans.analyze import predictive, script_units
 
 OWNED = "host string, pid string, record long, ts timestamp, class string, detail string, owner long"
-IDLE = "30 minutes"
+IDLE_MS = 30 * 60 * 1000  # of event time, after which a pid's state goes
+LATE = "10 minutes"
 
 
 def stream_findings(lines: DataFrame, kb: KnowledgeBase) -> DataFrame:
@@ -44,7 +45,7 @@ def _own(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
             last = int(record)
         owners.append(None if executes else last)
     state.update((last,))
-    state.setTimeoutDuration(30 * 60 * 1000)
+    state.setTimeoutTimestamp(max(int(whole["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
     out = whole.assign(owner=pd.array(owners, "Int64"))
     yield out.loc[~whole["is_exec"], ["host", "pid", "record", "ts", "class", "detail", "owner"]]
 
@@ -53,9 +54,9 @@ def correlate(records: DataFrame) -> DataFrame:
     """OWNED for each record that is no execution: owner is the latest execution before it of its host and pid.
 
     records: host, pid, record, ts, is_exec, class, detail. Rows without a pid have no owner.
-    A pid's state is one number, dropped when the pid has been idle for half an hour.
+    A pid's state is one number, dropped when the watermark has passed the pid's last record by half an hour.
     """
-    known = records.where("pid IS NOT NULL")
-    owned = known.groupBy("host", "pid").applyInPandasWithState(_own, OWNED, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = records.where("pid IS NOT NULL").withWatermark("ts", LATE)
+    owned = known.groupBy("host", "pid").applyInPandasWithState(_own, OWNED, "last long", "append", GroupStateTimeout.EventTimeTimeout)
     lone = records.where("pid IS NULL AND NOT is_exec").select("host", "pid", "record", "ts", "class", "detail", F.lit(None).cast("long").alias("owner"))
     return owned.unionByName(lone)

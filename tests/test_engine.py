@@ -495,16 +495,14 @@ def test_streams(spark, tmp_path):
 
     spark.createDataFrame([("h", "curl x; id\ncat /etc/shadow")], "src string, text string").write.json(f"{tmp_path}/in")
     lines = spark.readStream.schema("src string, text string").json(f"{tmp_path}/in")
-    query = stream.stream_findings(lines, kb.load("linux-auditd")).writeStream.format("memory").queryName("found").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.stream_findings(lines, kb.load("linux-auditd")).writeStream.format("memory").queryName("found").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert sorted(r.rule_id for r in spark.table("found").collect()) == ["curl", "id", "shadow-read"]
     rows = [("h", "1", 1, True, None), ("h", "1", 2, False, "file"), ("h", "2", 3, False, "file"), ("h", None, 4, False, "network"), ("h", "1", 5, True, None), ("h", "1", 6, False, "file")]
     schema = "host string, pid string, record long, is_exec boolean, class string"
     spark.createDataFrame(rows, schema).withColumns({"ts": F.current_timestamp(), "detail": F.lit("d")}).write.json(f"{tmp_path}/ev")
     events = spark.readStream.schema(schema + ", ts timestamp, detail string").json(f"{tmp_path}/ev")
-    query = stream.correlate(events).writeStream.format("memory").queryName("owned").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.correlate(events).writeStream.format("memory").queryName("owned").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert sorted((r.record, r.owner) for r in spark.table("owned").collect() if r.owner) == [(2, 1), (6, 5)]
     assert spark.table("owned").where("owner IS NULL").count() == 2
