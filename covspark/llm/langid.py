@@ -166,6 +166,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         langs, codes, tables, sizes = shared.value if shared else ([], np.where(_is_letter(), UNKNOWN, GAP).astype(np.uint8), [], [])
         weight = np.log2(np.array(sizes, float))
         for batch in batches:
+            if carry:
+                batch = batch.set_column(1, "t", batch.column(2).field(text))
             for piece in pieces(batch, "t", 1 << 20):
                 s, at = symbols(piece.column(1).to_pylist(), codes)
                 lettered = np.concatenate([[0], np.cumsum(s != GAP)])
@@ -181,7 +183,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), piece.column(2)], ["k", "lang_pred", "score", "row"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    found = rows.select("k", "t", "row").mapInArrow(run, f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
+    lean = rows.select("k", F.lit(None).cast("string").alias("t"), "row") if carry else rows.select("k", "t", "row")  # a carried text is sent once
+    found = lean.mapInArrow(run, f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
     return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))
 
 
