@@ -9,22 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covspark.llm import bpe, decontam, langid, neardup, substrings
-from covspark.llm.store import Store, table, without
-from covspark.ship import ship
+from covspark.llm.store import Store, prepare, table, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, `und`, go; lang becomes the language found."""
-    ship(spark)
+    prepare(spark)
     found = langid.identify(docs, carry=True).where(F.col("lang_pred") != "und")
     return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    ship(spark)
+    prepare(spark)
     store = Store(spark, "stage")
     found = store.keep(neardup.near_duplicates(docs), "found")
     kept = without(docs, found.where(~F.col("kept")), store)
@@ -37,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go from texts, whose other words one space then parts; every row stays."""
-    ship(spark)
+    prepare(spark)
     found = substrings.remove_repeats(docs, carry=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -52,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and digests of the ids and of the bytes decoded from them."""
-    ship(spark)
+    prepare(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ids=True)
 
