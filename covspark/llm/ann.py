@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import tidy
 from .store import Store, table
 
 CENTRE_SAMPLE = 4096  # vectors that the centre is the mean of, at most
@@ -57,7 +58,7 @@ def build(good: DataFrame, dim: int, centre: np.ndarray) -> DataFrame:
             raw = pa.array([x.tobytes() for x in code], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(norm), pa.array(cosine), batch.column(1)], ["id", "code", "norm", "cosine", "v"])
 
-    return good.mapInArrow(run, "id long, code binary, norm double, cosine double, v array<double>")
+    return good.mapInArrow(tidy(run), "id long, code binary, norm double, cosine double, v array<double>")
 
 
 class Nearest:
@@ -127,7 +128,7 @@ def search(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], centre: np.
                 measure(r, q, own, v)
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.d)], ["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_id", value: str = "embedding", dim: int | None = None) -> DataFrame:

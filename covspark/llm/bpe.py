@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import mix, pieces, ranges, utf8
+from .scan import mix, pieces, ranges, tidy, utf8
 from .store import table
 
 CACHE = 1 << 19  # pre-tokens whose ids a worker remembers
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 ids, at = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), _list_column(ids, at)], ["k", "ids"])
 
-    return source.mapInArrow(run, schema).select(F.col("k").alias(key), F.col("ids").alias(out))
+    return source.mapInArrow(tidy(run), schema).select(F.col("k").alias(key), F.col("ids").alias(out))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", key: str = "doc_id", out: str = "decoded") -> DataFrame:
@@ -209,7 +209,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", k
                 texts = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends[at[a : b + 1] - at[a]].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.slice(a, b - a), texts], ["k", "ids", "b"])
 
-    return source.mapInArrow(run, schema).select(F.col("k").alias(key), F.col("ids").alias(ids), F.col("b").alias(out))
+    return source.mapInArrow(tidy(run), schema).select(F.col("k").alias(key), F.col("ids").alias(ids), F.col("b").alias(out))
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scan import tidy
 from .store import table
 
 Env = dict[str, Any]
@@ -547,7 +548,7 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE, conv: str = "conv_id
         if ready:
             yield flush()
 
-    return dealt.mapInArrow(run, f"c {kind}, n_turns long, formatted string, spans array<struct<begin:long,end:long>>").withColumnRenamed("c", conv)
+    return dealt.mapInArrow(tidy(run), f"c {kind}, n_turns long, formatted string, spans array<struct<begin:long,end:long>>").withColumnRenamed("c", conv)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,7 +569,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = made.schema["conv_id"].dataType.simpleString()
-    return made.select("conv_id", "formatted", "spans").mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return made.select("conv_id", "formatted", "spans").mapInArrow(tidy(digest), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import pieces, plain_words, ranges, signed, words
+from .scan import pieces, plain_words, ranges, signed, tidy, words
 from .store import Store, table
 
 WINDOW = 10
@@ -69,7 +69,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield segment(held)
 
-    return source.mapInArrow(run, "segment long, term long, places binary, keys array<long>")
+    return source.mapInArrow(tidy(run), "segment long, term long, places binary, keys array<long>")
 
 
 class Tests:
@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((covered[base[1:]] - covered[base[:-1]]).astype(np.int64)), hit, batch.column(3)], ["k", "n_words", "n_hit", "spans", "items"])
 
-    out = every.select("k", "n_words", "hit", "items").mapInArrow(cover, "k long, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>")
+    out = every.select("k", "n_words", "hit", "items").mapInArrow(tidy(cover), "k long, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>")
     return out.select(F.col("k").alias(key), "n_words", "n_hit", F.array_sort("items").alias("items"), "spans")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import pieces
+from .scan import pieces, tidy
 from .store import table
 
 SAMPLE_DOCS = 96  # texts a language is learned from, at most: those whose doc_id hashes lowest
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     kind = rows.schema["k"].dataType.simpleString()
     lean = rows.select("k", F.lit(None).cast("string").alias("t"), "row") if carry else rows.select("k", "t", "row")  # a carried text is sent once
-    found = lean.mapInArrow(run, f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
+    found = lean.mapInArrow(tidy(run), f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
     return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import mix, pieces, signed, starts, utf8, white_words, windows, words
+from .scan import mix, pieces, signed, starts, tidy, utf8, white_words, windows, words
 from .store import Store, table
 
 WORDS, PERCENT = 5, 75
@@ -85,7 +85,7 @@ class _Linker:
                     raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
                     yield pa.RecordBatch.from_arrays([part.column(0), raw], ["id", "set"])
 
-        own = self.docs.join(_narrow(ids), F.col("k") == F.col("id"), "left_semi").mapInArrow(run, "id long, set binary")
+        own = self.docs.join(_narrow(ids), F.col("k") == F.col("id"), "left_semi").mapInArrow(tidy(run), "id long, set binary")
         self.sets = self.store.keep(own.groupBy("id").agg(F.min("set").alias("set")) if self.repeated else own, "sets")
 
     def hopeful(self, held: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ class _Linker:
             ids = self.store.keep(held.select("id").distinct(), f"sift{turn}")
             before = ids.count()
             own = self.sets.join(_narrow(ids, before), "id", "left_semi").select("id", "set")
-            each = own.mapInArrow(run, "id long, shingle long")
+            each = own.mapInArrow(tidy(run), "id long, shingle long")
             lone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
             lone = self.store.keep(lone.groupBy("id").agg(F.collect_list("shingle").alias("lone")), f"lone{turn}")
             held = held.drop("v", "cells").join(lone.select("id", F.size("lone").alias("u")), "id", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("u").where(F.col("v") * 100 >= F.col("n") * self.percent)
@@ -127,7 +127,7 @@ class _Linker:
             if turn == self.SIFTS - 1 or left.count() > 0.9 * before:
                 break
         found = own.join(_narrow(left), "id", "left_semi").join(lone, "id", "left").select("id", "set", F.coalesce("lone", F.array().cast("array<long>")).alias("lone"))
-        return held.join(found.mapInArrow(cells, "id long, cells array<int>"), "id")
+        return held.join(found.mapInArrow(tidy(cells), "id long, cells array<int>"), "id")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """pairs (id, pivot) with linked. A task holds one pivot's set and streams its partners'."""
@@ -159,7 +159,7 @@ class _Linker:
                     linked.append(100 * common >= percent * (len(held) + len(own) - common))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pivots, pa.int64()), pa.array(linked, pa.bool_())], ["id", "pivot", "linked"])
 
-        return self.store.keep(both.mapInArrow(run, "id long, pivot long, linked boolean"), f"verified{self.turn}")
+        return self.store.keep(both.mapInArrow(tidy(run), "id long, pivot long, linked boolean"), f"verified{self.turn}")
 
 
 def components(links: DataFrame, store: Store, name: str) -> DataFrame:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(signed(halves.ravel())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), lists], ["k", "n", "f", "g", "halves"])
 
-    rows = store.keep(source.mapInArrow(run, "k long, n long, f long, g long, halves array<long>"), "rows")
+    rows = store.keep(source.mapInArrow(tidy(run), "k long, n long, f long, g long, halves array<long>"), "rows")
     whole = rows.where((F.col("n") > 0) & F.col("k").isNotNull())
     classes = store.keep(whole.groupBy("f", "g", "n").agg(F.min("k").alias("id"), F.any_value("halves").alias("halves")), "classes")
     half = store.keep(classes.select("id", "n", F.posexplode("halves").alias("pos", "half")), "half")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import pieces, utf8, white_words, words
+from .scan import pieces, tidy, utf8, white_words, words
 from .store import Store, table
 
 FIT_ROWS = 20_000  # labelled rows that the text classifier is fitted on, at most
@@ -78,7 +78,7 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] |
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], [*names, "p"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "t")
-    return source.mapInArrow(run, f"{fields}, p double")
+    return source.mapInArrow(tidy(run), f"{fields}, p double")
 
 
 def _strength(n: Column, total: Column, squares: Column, prior: Column) -> list[Column]:
@@ -124,7 +124,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["k", "y", "x"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    sample = chosen.mapInArrow(measure, f"k {kind}, y double, x array<double>").toPandas().drop_duplicates("k").sort_values("k")
+    sample = chosen.mapInArrow(tidy(measure), f"k {kind}, y double, x array<double>").toPandas().drop_duplicates("k").sort_values("k")
     model = fit(np.stack(sample["x"].to_numpy()), sample["y"].to_numpy()) if len(sample) else None
 
     scored = store.keep(evidence(rows, model, [F.col("k"), F.col("host"), F.col("path")]), "scored")

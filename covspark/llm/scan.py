@@ -7,7 +7,10 @@ a window's hash is one subtraction and one product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -168,5 +171,20 @@ def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - before, count)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, whose worker hands its memory back when a partition ends: Spark reuses workers for other operators."""
+
+    def inner(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import mix, pieces, powers, ranges, signed, starts, white_words, windows, words
+from .scan import mix, pieces, powers, ranges, signed, starts, tidy, white_words, windows, words
 from .store import Store, table
 
 WINDOW = 35
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(signed(context)), pa.array(signed(whole)), part.column(0).take(pa.array(owner)), pa.array((first - w.at[owner]).astype(np.int32)), pa.array(count.astype(np.int16)), pa.array((symbol - first).astype(np.int16))], ["context", "whole", "row", "first", "count", "offset"])
 
     distinct = flagged.where(F.col("t").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select("row", "t")
-    found = store.keep(distinct.mapInArrow(reveal, "context long, whole long, row long, first int, count short, offset short"), "found")
+    found = store.keep(distinct.mapInArrow(tidy(reveal), "context long, whole long, row long, first int, count short, offset short"), "found")
     twice = found.groupBy("context").agg(F.count("*").alias("c")).where("c > 1").select("context")
     shared = store.keep(found.join(twice, "context", "left_semi"), "shared")
     store.drop("found")
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     n = asked.count()
     chosen = distinct.join(_narrow(asked.select("row"), n), "row", "left_semi") if n <= BROADCAST_ROWS else distinct
-    spelt = store.keep(chosen.dropDuplicates(["row"]).join(asked, "row").select("t", "groups").mapInArrow(spell, "context long, offset short, hash long, whole long, nth short, c long"), "spelt")
+    spelt = store.keep(chosen.dropDuplicates(["row"]).join(asked, "row").select("t", "groups").mapInArrow(tidy(spell), "context long, offset short, hash long, whole long, nth short, c long"), "spelt")
     repeated = spelt.groupBy("context", "offset", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("context", "offset", "hash")
     masks = spelt.join(repeated, ["context", "offset", "hash"], "left_semi").groupBy("context", "whole").agg(F.bit_or(F.expr("shiftleft(1, int(nth))")).alias("mask"))
     alone = kinds.where("c > 1").select("context", "whole", F.lit(-1).alias("mask"))
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         every = plain.unionByName(rest)
     else:
         every = told.join(hits, "row", "left").select("k", "t", "copied", "hits", "all")
-    out = every.mapInArrow(remove, f"k {kind}, t string, n_words long, n_removed long, kept string, all {source.schema['all'].dataType.simpleString()}")
+    out = every.mapInArrow(tidy(remove), f"k {kind}, t string, n_words long, n_removed long, kept string, all {source.schema['all'].dataType.simpleString()}")
     return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "n_removed", "kept", *([F.col("all").alias("row")] if carry else []))
 
 

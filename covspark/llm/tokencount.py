@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, load_ranks
-from .scan import pieces, utf8
+from .scan import pieces, tidy, utf8
 from .store import table
 
 RULES = ("first", "last", "most")
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rule: s
                 yield pa.RecordBatch.from_arrays(columns, ["k", "section", "char_begin", "char_end", "n_tokens", "n_crossing"])
 
     kind = source.schema["k"].dataType.simpleString()
-    return source.mapInArrow(run, f"k {kind}, section int, char_begin long, char_end long, n_tokens long, n_crossing long").withColumnRenamed("k", key)
+    return source.mapInArrow(tidy(run), f"k {kind}, section int, char_begin long, char_end long, n_tokens long, n_crossing long").withColumnRenamed("k", key)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
