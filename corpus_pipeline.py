@@ -45,8 +45,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.col("n_hit") > 0), Store(spark, "stage"))
+    keyed = docs.withColumn("row__", F.xxhash64("doc_id", "text"))  # a row without a doc_id can go too
+    found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="row__")
+    return without(keyed, found.where(F.col("n_hit") > 0), Store(spark, "stage"), "row__").drop("row__")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
