@@ -48,9 +48,9 @@ def annotate(findings: DataFrame, vendors: list[str], key: list[str]) -> DataFra
     """findings with edr: for each vendor wanted, its distinct events of the finding's classes, in order."""
     wanted = expand(vendors)
     order = F.create_map(*(F.lit(x) for i, v in enumerate(wanted) for x in (v, i)))
-    each = findings.select(*key, F.posexplode(classes(F.col("telemetry"))).alias("pos", "class"))
+    each = findings.select(*key, F.posexplode(classes(F.col("telemetry"))).alias("nth__", "class"))
     table = F.broadcast(vendor_events(findings.sparkSession).where(F.col("vendor").isin(wanted)))  # 52 rows
-    listed = each.join(table, "class").groupBy(*key, "vendor", "label").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "events"))), lambda x: x["events"]))).alias("events"))
+    listed = each.join(table, "class").groupBy(*key, "vendor", "label").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth__", "events"))), lambda x: x["events"]))).alias("events"))
     row = F.struct(order[F.col("vendor")].alias("i"), F.struct(F.col("label").alias("vendor"), "events").alias("e"))
     lists = listed.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["e"]).alias("edr"))
     return findings.join(lists, key, "left")

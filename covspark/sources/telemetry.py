@@ -65,10 +65,12 @@ def correlate(rows: DataFrame) -> Ingest:
     owner = F.when(F.col("pid").isNotNull(), F.last(F.when(F.col("done"), F.col("record")), ignorenulls=True).over(before))
     owned = rows.withColumn("owner", owner)
     extra = owned.where(~F.col("is_exec") & F.col("class").isNotNull())
-    effects = extra.where(F.col("owner").isNotNull()).groupBy("src", F.col("owner").alias("record")).agg(F.array_sort(F.collect_list(F.struct(F.col("record").alias("n"), "class", "detail"))).alias("e"))
-    effects = effects.select("src", "record", F.transform("e", lambda x: F.struct(x["class"].alias("class"), x["detail"].alias("detail"))).alias("side_effects"))
-    done = owned.where("done").select("src", "record", "commands", "raw", "fields").join(effects, ["src", "record"], "left")
-    done = done.withColumn("side_effects", F.coalesce("side_effects", F.array().cast("array<struct<class:string,detail:string>>")))
+    # an execution and what it owns meet in one grouping: its record is the key of all of them
+    part = owned.where(F.col("done") | (~F.col("is_exec") & F.col("class").isNotNull() & F.col("owner").isNotNull()))
+    own = F.any_value(F.when(F.col("done"), F.struct("commands", "raw", "fields")), ignoreNulls=True).alias("own")
+    effects = F.sort_array(F.collect_list(F.when(~F.col("done"), F.struct("record", "class", "detail")))).alias("effects")
+    done = part.groupBy("src", F.when(F.col("done"), F.col("record")).otherwise(F.col("owner")).alias("at")).agg(own, effects)
+    done = done.selectExpr("src", "at AS record", "own.*", "transform(effects, e -> named_struct('class', e.class, 'detail', e.detail)) AS side_effects")
     alone = extra.where(F.col("owner").isNull()).select("src", "record", "class", "detail", "fields")
     skipped = rows.groupBy("src").agg(F.count_if(~F.col("done")).alias("skipped"))
     return Ingest(done, alone, skipped)
@@ -92,50 +94,51 @@ def sysmon(files: DataFrame) -> Ingest:
 
 
 def audit_lines(files: DataFrame) -> DataFrame:
-    """src, n, kind, event, fields: one row a line that has a type and an event id."""
+    """src, n, kind, event, fields as written, text decoded: one row a line that has a type and an event id."""
     prepare(files.sparkSession)
     lines = files.select("src", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    parsed = lines.select("src", "n", F.expr(R.pairs("line")).alias("fields"))
-    return parsed.selectExpr("src", "n", f"{R.decoded("fields['type']")} AS kind", f"{R.event_id("fields['msg']")} AS event", "fields").where("kind IS NOT NULL AND event IS NOT NULL")
+    parsed = lines.select("src", "n", F.expr(R.pairs("line")).alias("fields")).selectExpr("src", "n", "fields", f"transform_values(fields, (k, v) -> {R.decoded('v')}) AS text")
+    return parsed.selectExpr("src", "n", "text['type'] AS kind", f"{R.event_id("fields['msg']")} AS event", "fields", "text").where("kind IS NOT NULL AND event IS NOT NULL")
 
 
 def audit_groups(lines: DataFrame) -> DataFrame:
     """src, record, recs: the records of an event, in order, wherever in the file they stand; events by first line."""
-    grouped = lines.groupBy("src", "event").agg(F.min("n").alias("first"), F.sort_array(F.collect_list(F.struct("n", "kind", F.map_entries("fields").alias("entries")))).alias("recs"))
-    return grouped.select("src", F.row_number().over(W.partitionBy("src").orderBy("first")).alias("record"), F.expr("transform(recs, r -> named_struct('kind', r.kind, 'fields', map_from_entries(r.entries)))").alias("recs"))
+    row = F.struct("n", "kind", F.map_entries("fields").alias("fields"), F.map_entries("text").alias("text"))
+    grouped = lines.groupBy("src", "event").agg(F.min("n").alias("first"), F.sort_array(F.collect_list(row)).alias("recs"))
+    maps = "transform(recs, r -> named_struct('kind', r.kind, 'fields', map_from_entries(r.fields), 'text', map_from_entries(r.text)))"
+    return grouped.select("src", F.row_number().over(W.partitionBy("src").orderBy("first")).alias("record"), F.expr(maps).alias("recs"))
 
 
 def auditd(files: DataFrame, users: DataFrame | None = None) -> Ingest:
     """key=value records, several to an event. Socket addresses are decoded as they stand, in hex."""
     rows = audit_groups(audit_lines(files))
-    first = lambda kind, more="true": f"get(filter(recs, r -> r.kind = '{kind}' AND {more}), 0)"
-    rows = rows.selectExpr("src", "record", "recs", f"{first('SYSCALL')}.fields AS call", f"{first('EXECVE')}.fields AS exec")
-    uid = rows.withColumn("uid", F.expr("call['uid']"))
+    first = lambda test: f"get(filter(recs, r -> {test}), 0)"
+    chosen = {
+        "call": "r.kind = 'SYSCALL'",
+        "run": "r.kind = 'EXECVE'",
+        "cwd": "r.kind = 'CWD'",
+        "named": "r.kind = 'PATH' AND r.text['name'] IS NOT NULL",
+        "path": "r.kind = 'PATH' AND coalesce(r.text['nametype'], '') <> 'PARENT'",
+        "peer": "r.kind = 'SOCKADDR' AND r.fields['saddr'] IS NOT NULL",
+    }
+    rows = rows.selectExpr("src", "record", *(f"{first(t)} AS {n}" for n, t in chosen.items()))
+    rows = rows.withColumns({"exec": F.col("run.text"), "uid": F.expr("call.fields['uid']"), "pid": F.expr("call.fields['pid']"), "worked": F.expr("run IS NULL AND coalesce(call.text['success'], 'yes') = 'yes'")})
     if users is None:
-        rows = uid.withColumn("user", F.lit(None).cast("string"))
+        rows = rows.withColumn("user", F.lit(None).cast("string"))
     else:
-        names = F.broadcast(users) if users.count() <= 1 << 17 else users
-        rows = uid.join(names.withColumnRenamed("name", "user"), "uid", "left")
-    gap = "coalesce(nullif(array_position(transform(sequence(0, size(exec)), i -> map_contains_key(exec, concat('a', i))), false), 0) - 1, 0)"
-    line = f"if(exec IS NULL, NULL, array_join(transform(slice(transform(sequence(0, size(exec)), i -> exec[concat('a', i)]), 1, int({gap})), v -> transform(array({R.decoded('v')}), d -> {R.quoted_argument('d')})[0]), ' '))"
-    known = lambda v: f"nullif({R.decoded(v)}, '')"
-    unset = lambda v: f"nullif({known(v)}, '(none)')"
+        rows = rows.join(users.withColumnRenamed("name", "user"), "uid", "left")
+    count = "coalesce(nullif(array_position(transform(sequence(0, size(exec)), i -> map_contains_key(exec, concat('a', i))), false), 0) - 1, 0)"
+    rows = rows.withColumn("argv", F.expr(f"if(exec IS NULL, NULL, slice(transform(sequence(0, size(exec)), i -> exec[concat('a', i)]), 1, int({count})))"))
     fixed = {
-        "CommandLine": f"nullif({line}, '')", "User": "user", "Image": known("call['exe']"), "exe": known("call['exe']"), "comm": known("call['comm']"), "tty": unset("call['tty']"), "key": unset("call['key']"),
-        "name": known(f"{first('PATH', "r.fields['name'] IS NOT NULL")}.fields['name']"), "CurrentDirectory": known(f"{first('CWD')}.fields['cwd']"), "ProcessId": "call['pid']",
+        "CommandLine": f"array_join(transform(argv, d -> {R.quoted_argument('d')}), ' ')", "User": "user", "Image": "call.text['exe']", "exe": "call.text['exe']", "comm": "call.text['comm']",
+        "tty": "nullif(call.text['tty'], '(none)')", "key": "nullif(call.text['key'], '(none)')", "name": "named.text['name']", "CurrentDirectory": "cwd.text['cwd']", "ProcessId": "pid",
     }
-    arguments = f"transform(map_entries(map_filter(exec, (k, v) -> k RLIKE '^a[0-9]+$')), e -> named_struct('k', e.key, 'v', {known('e.value')}))"
-    whole = ", ".join(f"named_struct('k', {lit(k)}, 'v', {v})" for k, v in fixed.items())
-    own = f"map_from_entries(filter(concat(coalesce({arguments}, array()), array({whole})), e -> e.v IS NOT NULL))"
-    worked = f"coalesce({R.decoded("call['success']")}, 'yes') = 'yes'"
-    address = f"{first('SOCKADDR', "r.fields['saddr'] IS NOT NULL")}.fields['saddr']"
-    path = f"{first('PATH', f"coalesce({R.decoded("r.fields['nametype']")}, '') <> 'PARENT'")}.fields"
-    rows = rows.selectExpr("*", f"{own} AS made", f"if(exec IS NULL AND {worked}, {R.socket_address(address)}, NULL) AS peer", f"if(exec IS NULL AND {worked}, {path}, NULL) AS path")
-    file = known("path['name']")
-    rows = rows.selectExpr("*", f"CASE WHEN peer IS NOT NULL THEN 'network' WHEN {file} IS NOT NULL THEN 'file' END AS class")
-    detail = f"CASE class WHEN 'network' THEN concat('network connection to ', peer.ip, coalesce(concat(':', peer.port), '')) WHEN 'file' THEN concat(if({R.decoded("path['nametype']")} = 'CREATE', 'file created ', 'file opened '), {file}) END"
-    seen = f"map_filter(CASE class WHEN 'network' THEN map('DestinationIp', peer.ip, 'DestinationPort', peer.port, 'ProcessId', call['pid']) WHEN 'file' THEN map('TargetFilename', {file}, 'ProcessId', call['pid']) END, (k, v) -> v IS NOT NULL)"
-    rows = rows.selectExpr("src", "record", "exec IS NOT NULL AS is_exec", "call['pid'] AS pid", "class", f"{detail} AS detail", f"if(exec IS NOT NULL, made, {seen}) AS fields")
+    whole = f"map_concat(map_filter(exec, (k, v) -> k RLIKE '^a[0-9]+$'), map({', '.join(f'{lit(k)}, {v}' for k, v in fixed.items())}))"
+    rows = rows.withColumns({"made": F.expr(f"map_filter({whole}, (k, v) -> v <> '')"), "address": F.expr(f"if(worked, {R.socket_address("peer.fields['saddr']")}, NULL)"), "file": F.expr("if(worked, nullif(path.text['name'], ''), NULL)")})
+    rows = rows.withColumn("class", F.expr("CASE WHEN address IS NOT NULL THEN 'network' WHEN file IS NOT NULL THEN 'file' END"))
+    detail = "CASE class WHEN 'network' THEN concat('network connection to ', address.ip, coalesce(concat(':', address.port), '')) WHEN 'file' THEN concat(if(path.text['nametype'] = 'CREATE', 'file created ', 'file opened '), file) END"
+    seen = "map_filter(CASE class WHEN 'network' THEN map('DestinationIp', address.ip, 'DestinationPort', address.port, 'ProcessId', pid) WHEN 'file' THEN map('TargetFilename', file, 'ProcessId', pid) END, (k, v) -> v IS NOT NULL)"
+    rows = rows.selectExpr("src", "record", "run IS NOT NULL AS is_exec", "pid", "class", f"{detail} AS detail", f"if(run IS NOT NULL, made, {seen}) AS fields")
     return correlate(executions(rows))
 
 
