@@ -137,13 +137,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     distinct = flagged.where(F.col("t").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select("row", "t")
     found = store.keep(distinct.mapInArrow(tidy(reveal), "context long, whole long, row long, first int, count short, offset short"), "found")
-    twice = found.groupBy("context").agg(F.count("*").alias("c")).where("c > 1").select("context")
+    # grouped keys are written before they are joined: only then can Spark split the rows of a common one
+    twice = store.keep(found.groupBy("context").agg(F.count("*").alias("c")).where("c > 1").select("context"), "twice")
     shared = store.keep(found.join(twice, "context", "left_semi"), "shared")
     store.drop("found")
 
     # 2. verify: a group that is alone in its context repeats as a whole; where there are several, their windows are compared
     kinds = store.keep(shared.groupBy("context", "whole").agg(F.count("*").alias("c"), F.min(F.struct("row", "first", "count", "offset")).alias("at")), "kinds")
-    several = kinds.groupBy("context").agg(F.count("*").alias("kinds")).where("kinds > 1").select("context")
+    several = store.keep(kinds.groupBy("context").agg(F.count("*").alias("kinds")).where("kinds > 1").select("context"), "several")
     open_ = kinds.join(several, "context", "left_semi").select("context", "whole", "c", "at.*")
     asked = store.keep(open_.groupBy("row").agg(F.collect_list(F.struct("first", "count", "offset", "context", "whole", "c")).alias("groups")), "asked")  # a text's own groups
 
@@ -164,12 +165,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     n = asked.count()
     chosen = distinct.join(_narrow(asked.select("row"), n), "row", "left_semi") if n <= BROADCAST_ROWS else distinct
     spelt = store.keep(chosen.dropDuplicates(["row"]).join(asked, "row").select("t", "groups").mapInArrow(tidy(spell), "context long, offset short, hash long, whole long, nth short, c long"), "spelt")
-    repeated = spelt.groupBy("context", "offset", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("context", "offset", "hash")
+    repeated = store.keep(spelt.groupBy("context", "offset", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("context", "offset", "hash"), "repeated")
     masks = spelt.join(repeated, ["context", "offset", "hash"], "left_semi").groupBy("context", "whole").agg(F.bit_or(F.expr("shiftleft(1, int(nth))")).alias("mask"))
     alone = kinds.where("c > 1").select("context", "whole", F.lit(-1).alias("mask"))
     masks = store.keep(alone.unionByName(masks.join(alone, ["context", "whole"], "left_anti")), "masks")
     hits = store.keep(shared.join(masks, ["context", "whole"]).groupBy("row").agg(F.collect_list(F.struct("first", "count", "mask")).alias("hits")), "hits")
-    store.drop("shared", "kinds", "asked", "spelt", "masks")
+    store.drop("twice", "several", "repeated", "shared", "kinds", "asked", "spelt", "masks")
 
     # 3. remove: words that a repeated window covers
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
