@@ -23,8 +23,7 @@ COMMAND = "struct<program:string,args:array<string>,raw:string>"
 COMMANDS = f"array<{COMMAND}>"
 
 # a comment from a # at the start of a word; a separator; a word of quoted and bare parts
-_COMMENT = r"(?<![^\s;|&])#"
-TOKEN = _COMMENT + r"""[\s\S]*|\|\||&&|[;|&]|(?:'[^']*(?:'|\z)|"[^"]*(?:"|\z)|[^\s;|&'"])+"""
+TOKEN = r"""(?<![^\s;|&])#(?s:.*)|\|\||&&|[;|&]|(?:'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|[^\s;|&'"]++)++"""
 QUOTED = r"""'([^']*)(?:'|\z)|"([^"]*)(?:"|\z)"""
 ASSIGNMENT = r"^[A-Za-z_][A-Za-z0-9_]*="
 HEAD = r"^(?:A|WF*)*"  # assignments, and wrappers with their flags
@@ -39,7 +38,8 @@ def basename_sql(path: str) -> str:
 def tokens_sql(line: str) -> str:
     """Bare tokens of a line: quotes gone, a comment cut."""
     raw = f"filter(regexp_extract_all({line}, {lit('(?U)' + TOKEN)}, 0), t -> NOT startswith(t, '#'))"
-    return f"filter(transform({raw}, t -> regexp_replace(t, {lit(QUOTED)}, '$1$2')), t -> t <> '')"
+    bare = f"if(contains(t, '\"') OR contains(t, '\\''), regexp_replace(t, {lit(QUOTED)}, '$1$2'), t)"
+    return f"filter(transform({raw}, t -> {bare}), t -> t <> '')"
 
 
 def commands_sql(line: str) -> str:
@@ -47,7 +47,8 @@ def commands_sql(line: str) -> str:
     kind = f"CASE WHEN t RLIKE {lit(ASSIGNMENT)} THEN 'A' WHEN array_contains({strings(WRAPPERS)}, lower(t)) THEN 'W' WHEN startswith(t, '-') THEN 'F' ELSE 'O' END"
     cut = f"concat(array(0), filter(transform(ts, (t, i) -> if(array_contains({strings(SEPARATORS)}, t), i + 1, null)), i -> i IS NOT NULL), array(size(ts) + 1))"
     parts = "transform(slice(cut, 1, size(cut) - 1), (a, i) -> slice(ts, a + 1, cut[i + 1] - a - 1))"
-    head = f"length(regexp_extract(array_join(transform(p, t -> {kind}), ''), {lit(HEAD)}, 0))"
+    plain = f"(size(p) = 0 OR NOT (contains(p[0], '=') OR array_contains({strings(WRAPPERS)}, lower(p[0]))))"  # most: the program comes first
+    head = f"if({plain}, 0, length(regexp_extract(array_join(transform(p, t -> {kind}), ''), {lit(HEAD)}, 0)))"
     command = f"named_struct('program', {basename_sql('p[h]')}, 'args', slice(p, h + 2, size(p)), 'raw', raw)"
     made = f"transform(filter(transform(parts, p -> named_struct('p', p, 'h', {head})), x -> x.h < size(x.p)), x -> {command.replace('p[h]', 'x.p[x.h]').replace('slice(p, h + 2, size(p))', 'slice(x.p, x.h + 2, size(x.p))')})"
     # names for intermediate arrays, by one-element transforms: SQL text has no let

@@ -10,6 +10,10 @@ import re
 from collections.abc import Iterable
 
 
+#: White space of any script.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def lit(value: str) -> str:
     """A string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\0", "\\0") + "'"
@@ -79,7 +83,7 @@ def path_under(low: str, base: str) -> str:
 
 def trim(text: str) -> str:
     """Without white space, of any script, at either end."""
-    return f"regexp_replace({text}, {lit(r'(?U)^\s+|\s+$')}, '')"
+    return f"trim(BOTH {lit(SPACE)} FROM {text})"
 
 
 def glob(value: str, pattern: str, whole: bool = True) -> str:
