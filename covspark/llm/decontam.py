@@ -175,8 +175,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     that of window consecutive words of an item, or of all of a shorter item's; with
     slack > 0 words may be displaced (proximity). Test items are searched in blocks of
     about BLOCK_WORDS words, each broadcast, against all postings. Null texts have
-    no words; items without words hit nothing; items with a null id are named "" ; rows
-    that repeat a key stay rows of their own; an empty benchmark hits nothing.
+    no words; items without words hit nothing; items with a null id are named "", items
+    of one id count as one; rows that repeat a key stay rows of their own; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     store = store or Store(spark, "postings")
@@ -208,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((covered[base[1:]] - covered[base[:-1]]).astype(np.int64)), hit, batch.column(3)], ["k", "n_words", "n_hit", "spans", "items"])
 
     out = every.select("k", "n_words", "hit", "items").mapInArrow(tidy(cover), "k long, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>")
-    return out.select(F.col("k").alias(key), "n_words", "n_hit", F.array_sort("items").alias("items"), "spans")
+    return out.select(F.col("k").alias(key), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
