@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .store import table
 
 SAMPLE_DOCS = 96  # texts a language is learned from, at most: those whose doc_id hashes lowest
 SAMPLE_LETTERS = 1 << 15  # letters and gaps of them, at most
-ALPHABET = 62  # the commonest letters of the samples; the others are one unknown letter
+DENSE = 62  # the commonest letters of a language have columns in its table; its others are looked up by keys
 SEGMENT = 128  # the parse starts anew after so many letters, in every language alike
 GAP, UNKNOWN = 0, 1
 
@@ -51,13 +52,41 @@ def symbols(texts: list[str | None], codes: np.ndarray) -> tuple[np.ndarray, np.
     return s[keep], kept[at]
 
 
-def automaton(s: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of s as one table for greedy parsing.
+class Automaton(NamedTuple):
+    """The suffix automaton of a language's sample, for greedy parsing.
 
-    Entry [state, symbol] is 4 * width * next + phrases that end there: none
-    while the match goes on; one when it breaks and the symbol starts another;
-    two when the symbol occurs nowhere and is a phrase of its own.
+    Entry [state, column] of table is 4 * width * next + phrases that end there:
+    none while the match goes on; one when it breaks and the symbol starts
+    another; two when the symbol occurs nowhere and is a phrase of its own.
+    The language's letters beyond its DENSE commonest are ranked: their
+    transitions are the sorted keys width * state * ranks + rank, with their
+    entries, and fresh holds the entries of a break. A bound on states (twice the
+    sample) and transitions (three times) bounds both, whatever the alphabet.
     """
+
+    column: np.ndarray  # of each symbol; UNKNOWN for those that do not occur and those ranked
+    rank: np.ndarray  # of each symbol, -1 for those not ranked; empty if none is
+    table: np.ndarray
+    keys: np.ndarray
+    entries: np.ndarray
+    fresh: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The entries of states, each given as width * state, at symbols."""
+        v = self.table[state + self.column[symbol]]
+        if len(self.rank):
+            rank = self.rank[symbol]
+            rare = np.flatnonzero(rank >= 0)
+            if len(rare):
+                rank = rank[rare]
+                key = state[rare].astype(np.int64) * len(self.fresh) + rank
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                v[rare] = np.where(self.keys[i] == key, self.entries[i], self.fresh[rank])
+        return v
+
+
+def automaton(s: list[int], kinds: int) -> Automaton:
+    """The automaton of s, whose symbols are below kinds."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in s:
@@ -83,39 +112,56 @@ def automaton(s: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    counts = Counter(c for c in s if c != GAP)
+    common = sorted(counts, key=lambda c: (-counts[c], c))
+    common, ranked = common[:DENSE], common[DENSE:]
+    width = 2 + len(common)
+    column = np.full(kinds, UNKNOWN, np.uint8)
+    column[[GAP, *common]] = [GAP, *range(2, width)]
+    rank = np.full(kinds if ranked else 0, -1, np.int32)
+    if ranked:
+        rank[ranked] = np.arange(len(ranked))
     out = np.full((len(follow), width), -1, np.int64)
+    sparse: list[tuple[int, int]] = []
     for state, to in enumerate(follow):
         for c, q in to.items():
-            out[state, c] = q
+            if ranked and rank[c] >= 0:
+                sparse.append((width * state * len(ranked) + int(rank[c]), 4 * width * q))
+            else:
+                out[state, column[c]] = q
+    sparse.sort()
     fresh = out[0]
     again = np.where(fresh >= 0, 4 * width * fresh + 1, 2)
     whole = np.where(out >= 0, 4 * width * out, again)
     whole[0] = np.where(fresh >= 0, 4 * width * fresh, 1)
-    return whole.astype(np.int32).ravel()
+    keys, entries = np.array(sparse, np.int64).reshape(-1, 2).T.copy()
+    starts = np.array([4 * width * follow[0][c] + 1 for c in ranked], np.int32)
+    return Automaton(column, rank, whole.astype(np.int32).ravel(), keys, entries.astype(np.int32), starts)
 
 
-def fit(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[np.ndarray], list[int]]:
-    """Languages in order, a symbol for each code point, a table and the training length of each."""
-    langs, letters = sorted(samples), Counter()
-    plain = _is_letter()
+def fit(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[Automaton], list[int]]:
+    """Languages in order, a symbol for each code point, an automaton and the training length of each.
+
+    Every letter of a sample has a symbol of its own; only letters in none are UNKNOWN.
+    """
+    langs, plain = sorted(samples), _is_letter()
+    letters: set[int] = set()
     for lang in langs:
         points, _ = _points(samples[lang])
-        kinds, counts = np.unique(points[plain[points]], return_counts=True)
-        share = counts / max(1, counts.sum())
-        letters.update(dict(zip(kinds.tolist(), share.tolist(), strict=True)))
-    codes = np.where(plain, UNKNOWN, GAP).astype(np.uint8)
-    best = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-    codes[best] = np.arange(2, 2 + len(best), dtype=np.uint8)
+        letters.update(np.unique(points[plain[points]]).tolist())
+    kinds = 2 + len(letters)
+    codes = np.where(plain, UNKNOWN, GAP).astype(np.min_scalar_type(kinds))
+    codes[sorted(letters)] = np.arange(2, kinds, dtype=codes.dtype)
     tables, sizes = [], []
     for lang in langs:
         s, _ = symbols(samples[lang], codes)
         s = s[:SAMPLE_LETTERS].tolist()
-        tables.append(automaton([c for c in s if c != UNKNOWN], 2 + ALPHABET))
+        tables.append(automaton(s, kinds))
         sizes.append(max(2, len(s)))
     return langs, codes, tables, sizes
 
 
-def phrases(s: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+def phrases(s: np.ndarray, at: np.ndarray, tables: list[Automaton]) -> np.ndarray:
     """Phrases of each text in each language: all segments take a step at a time together."""
     n = np.diff(at)
     parts = -(-n // SEGMENT)
@@ -133,7 +179,7 @@ def phrases(s: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarr
         state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
         for column in columns:
             m = len(column)
-            v = follow[state[:m] + column]
+            v = follow.step(state[:m], column)
             count[:m] += v & 3
             np.right_shift(v, 2, out=state[:m])
         count += state != 0

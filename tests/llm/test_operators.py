@@ -306,6 +306,32 @@ def test_phrases_are_longest_matches():
             assert got[i, k] == n, (t, lang)
 
 
+def test_phrases_of_large_alphabets():
+    rnd = random.Random(5)
+    letters = {"a": range(0x4E00, 0x4E00 + 300), "b": range(0x4E00 + 150, 0x4E00 + 450), "c": range(0x61, 0x7B)}
+    samples = {k: "".join(map(chr, rnd.choices(v, k=900))) for k, v in letters.items()}
+    langs, codes, tables, _ = langid.fit({k: [v] for k, v in samples.items()})
+    texts = ["".join(samples[k][i : i + rnd.randint(1, 9)] for k in rnd.choices("abc", k=6) for i in [rnd.randrange(880)]) for _ in range(60)]
+    texts += [chr(0x7000) * 3, chr(c := 0x4E00 + 7) + chr(c), samples["a"][:90]]
+    got = langid.phrases(*langid.symbols(texts, codes), tables)
+    for i, t in enumerate(texts):
+        for k, lang in enumerate(langs):
+            n, p = 0, 0
+            while p < len(t):
+                n, p = n + 1, p + max([j for j in range(1, len(t) - p + 1) if t[p : p + j] in samples[lang]], default=1)
+            assert got[i, k] == n, (t, lang)
+
+
+def test_language_of_short_texts_in_several_scripts(spark):
+    rnd = random.Random(6)
+    starts = {"el": 0x3B1, "hi": 0x915, "ja": 0x4E00, "ko": 0xAC00, "zh": 0x5E00, "en": 0x61}
+    words = {x: ["".join(chr(c + rnd.randrange(20 if x in ("el", "en", "hi") else 400)) for _ in range(3)) for _ in range(150)] for x, c in starts.items()}
+    data = [(i, " ".join(rnd.choices(words[x], k=20 if i < 300 else 2)), x) for i in range(600) for x in [sorted(starts)[i % 6]]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert [got[i] for i, *_ in data] == [x for *_, x in data]
+
+
 def test_shards(spark, docs, none):
     got = shards.shard(docs.unionByName(docs.where("doc_id = 11"))).toPandas()
     assert len(got) == len(TEXTS) + 1
