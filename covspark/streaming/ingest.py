@@ -24,8 +24,8 @@ LATE = "10 minutes"
 
 
 def stream_findings(lines: DataFrame, kb: KnowledgeBase) -> DataFrame:
-    """Findings of a stream of scripts or single command lines (src, text); stateless."""
-    return predictive(script_units(lines, logical=False), kb)
+    """Findings of a stream of scripts or single command lines (src, text): those of the batch, as each row is whole by itself."""
+    return predictive(script_units(lines), kb)
 
 
 def window_counts(findings: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

