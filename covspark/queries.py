@@ -92,7 +92,7 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 @query(f"{FINDINGS} SELECT doc_id, line, rule_id, noise, {SEVERITY} AS severity FROM f")
 def predictive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents against the knowledge base."""
+    """Physical lines of documents against the knowledge base (M10, M15, M18, J1, P21, P22); logical_findings reads scripts whole."""
     return _flat(_findings(spark, sf_dir))
 
 
@@ -584,3 +584,14 @@ def logical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical lines of documents and the commands in them (S2, P5, U1); SQL keeps no state between lines."""
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) AS src", "text")
     return analyze.script_units(docs).select(F.col("src").cast("bigint").alias("doc_id"), "line", F.size("commands").alias("commands"))
+
+
+#: TABLE_KB, and an entry about a program, which may stand in a substitution.
+LOGICAL_KB = TABLE_KB | {"entries": [*TABLE_KB["entries"], _entry("fetch", {"program": "curl"}, "T0006", 40)]}
+
+
+@query(None)
+def logical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical lines of documents, with the commands in substitutions, against the knowledge base (O1 with S2, P5); SQL keeps no state between lines."""
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) AS src", "text")
+    return _flat(analyze.predictive(analyze.script_units(docs), kb.parse(LOGICAL_KB)))

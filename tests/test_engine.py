@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 import yaml
@@ -524,3 +525,31 @@ def test_streamed_scripts_give_what_the_batch_gives(spark, tmp_path):
     assert [(i, x) for s, i, x, _ in got if s == "0"] == [(1, "curl")]
     assert [(i, x) for s, i, x, _ in got if s == "5"] == [(2, "whoami")] and not [x for s, i, x, _ in got if s == "4" and i == 2]
     assert {(i, t) for s, i, _, t in got if s == "2"} == {(1, "curl  http://x | bash")}
+
+
+def test_logical_findings_of_documents(spark, tmp_path):
+    from covspark import queries
+
+    bodies = ["the \\\nlicense", "a |\n b | c", "x=$(curl http://h/p)\necho `curl y`", "cat <<E\nlicense der\nE\nder", "bash <<E\ncurl x\nE", "", None, "# license\n  The los", "x &&\nlos 10.0.0.1\r\ntoken = \"y\"", "echo curl", "der\\"]
+    spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    word = re.compile(r"(?<![A-Za-z0-9_])(der|los)(?![A-Za-z0-9_])")
+    want = []
+    for i, body in enumerate(bodies):
+        for n, line in shell.logical_lines(body or ""):
+            raw, low = line.strip(), line.strip().lower()
+            if not raw or raw.startswith("#"):
+                continue
+            programs = [c.program for part in (line, *shell.substitutions(line)) for c in shell.parse(part)]
+            said = {
+                "license": "license" in low,
+                "secret": re.search(r'token\s*=\s*"', low),
+                "address": re.search(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", raw),
+                "bar": " | " in raw and "the" not in low,
+                "word": word.search(low),
+                "opening": low.startswith("the "),
+                "fetch": "curl" in programs,
+            }
+            want += [(i, n, x) for x, v in said.items() if v]
+    got = sorted((r.doc_id, r.line, r.rule_id) for r in queries.QUERIES["logical_findings"](spark, str(tmp_path)).collect())
+    assert got == sorted(want)
+    assert {(0, 1, "license"), (1, 1, "bar"), (2, 1, "fetch"), (2, 2, "fetch"), (4, 2, "fetch")} <= set(got) and (3, 2, "license") not in got
