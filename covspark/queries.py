@@ -98,7 +98,7 @@ def predictive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FINDINGS} SELECT doc_id, line, rule_id, noise, {SEVERITY} AS severity FROM f ORDER BY noise DESC, doc_id, line, rule_id LIMIT 50")
 def loudest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's order, of which a page is shown (W1); fifty is the page."""
+    """The first page of the report's order, fifty rows; ordered_findings is the whole."""
     return _flat(_findings(spark, sf_dir)).orderBy(F.desc("noise"), "doc_id", "line", "rule_id").limit(50)
 
 
@@ -182,7 +182,7 @@ def basename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH l AS ({LINES}) SELECT doc_id, line, len(list_filter(string_split(raw, ' | '), lambda x: trim(x) <> '')) AS commands FROM l WHERE contains(raw, ' | ') AND NOT regexp_matches(raw, '[''"#;&\\\\]|\\|\\|') AND NOT regexp_matches(raw, '(^| )(time|command|nice|exec)( |$)')""")
 def piped_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands of piped lines (P1-P3); SQL counts the pieces of those without quotes."""
+    """Commands of piped lines without quotes and the like, whose pieces SQL can count; parsed_commands takes every line."""
     units = _units(spark, sf_dir).where("contains(raw, ' | ') AND NOT raw RLIKE '[\\'\"#;&\\\\\\\\]|[|][|]' AND NOT raw RLIKE '(^| )(time|command|nice|exec)( |$)'")
     return units.select(F.col("src").cast("bigint").alias("doc_id"), "line", F.size("commands").cast("bigint").alias("commands"))
 
@@ -275,12 +275,12 @@ def literal_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr("doc_id", f"{dashes} AS dashed", f"{coded} AS coded")
 
 
-@query("""SELECT doc_id, ip, a = 10 AS ten, a = 192 AND b = 168 AS home, a >= 128 AS upper FROM (SELECT doc_id, ip, CAST(string_split(ip, '.')[1] AS INT) AS a, CAST(string_split(ip, '.')[2] AS INT) AS b
-    FROM (SELECT doc_id, regexp_extract(text, '\\b((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\b') AS ip FROM documents) WHERE ip <> '')""")
-def cidr_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks that hold an address."""
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    ips = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", rf"\b({octet}\.){{3}}{octet}\b", 0).alias("ip")).where("ip <> ''")
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+ADDRESS = rf"\b({OCTET}\.){{3}}{OCTET}\b"
+
+
+def _in_networks(ips: DataFrame) -> DataFrame:
+    """doc_id, ip and whether each network holds it."""
     own = {n: rules.rule_of(_detection("s", s={"ip__cidr": net})) for n, net in (("ten", "10.0.0.0/8"), ("home", "192.168.0.0/16"), ("upper", "128.0.0.0/1"))}
     for n, r in own.items():
         r.id = n
@@ -289,6 +289,14 @@ def cidr_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy("doc_id", "ip").agg(*(F.max(F.when(F.col("judged") == n, F.col("verdict.outcome") == "fires")).alias(n) for n in own))
 
 
+@query("""SELECT doc_id, ip, a = 10 AS ten, a = 192 AND b = 168 AS home, a >= 128 AS upper FROM (SELECT doc_id, ip, CAST(string_split(ip, '.')[1] AS INT) AS a, CAST(string_split(ip, '.')[2] AS INT) AS b
+    FROM (SELECT doc_id, regexp_extract(text, '\\b((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\b') AS ip FROM documents) WHERE ip <> '')""")
+def cidr_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks that hold the first address of a document; cidr_match_all judges all of them."""
+    ips = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", ADDRESS, 0).alias("ip")).where("ip <> ''")
+    return _in_networks(ips)
+
+
 @query("""SELECT page_id, CASE WHEN ends_with(v, '/7198') THEN 'indeterminate' ELSE 'no-fire' END AS outcome FROM (SELECT page_id, '/' || regexp_extract(regexp_replace(lower(url), '[?#].*$', ''), '[^/]*$') AS v FROM pages)""")
 def partial_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path of which only the end is known (E13, P16): agreeing ends are unknown, others are no."""
@@ -595,3 +603,22 @@ def logical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical lines of documents, with the commands in substitutions, against the knowledge base (O1 with S2, P5); SQL keeps no state between lines."""
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) AS src", "text")
     return _flat(analyze.predictive(analyze.script_units(docs), kb.parse(LOGICAL_KB)))
+
+
+@query(f"{FINDINGS} SELECT doc_id, line, rule_id, noise, {SEVERITY} AS severity FROM f ORDER BY noise DESC, doc_id, line, rule_id")
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's order, whole."""
+    return _flat(_findings(spark, sf_dir)).orderBy(F.desc("noise"), "doc_id", "line", "rule_id")
+
+
+@query(None)
+def parsed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of every physical line (P1-P3); SQL knows no quotes."""
+    return _units(spark, sf_dir).select(F.col("src").cast("bigint").alias("doc_id"), "line", F.size("commands").cast("bigint").alias("commands"))
+
+
+@query(None)
+def cidr_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks that hold each distinct address of a document."""
+    found = F.regexp_extract_all("text", F.lit(ADDRESS), F.lit(0))
+    return _in_networks(table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("ip")))

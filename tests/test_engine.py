@@ -553,3 +553,24 @@ def test_logical_findings_of_documents(spark, tmp_path):
     got = sorted((r.doc_id, r.line, r.rule_id) for r in queries.QUERIES["logical_findings"](spark, str(tmp_path)).collect())
     assert got == sorted(want)
     assert {(0, 1, "license"), (1, 1, "bar"), (2, 1, "fetch"), (2, 2, "fetch"), (4, 2, "fetch")} <= set(got) and (3, 2, "license") not in got
+
+
+def test_every_line_address_and_finding_counts(spark, tmp_path):
+    import ipaddress
+
+    from covspark import queries
+
+    bodies = [*LINES, "a | b; 'c | d' && e\nx \\| y\ntime ls | wc # z", None, "", "10.1.2.3 and 192.168.0.9, 10.1.2.3; 200.1.1.1:80 300.1.1.1 1.2.3.4.5", "der los\n" * 70]
+    spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    want = [(i, n, len(shell.parse(x))) for i, t in enumerate(bodies) for n, x in enumerate((t or "").split("\n"), 1) if x.strip() and not x.strip().startswith("#")]
+    assert sorted((r.doc_id, r.line, r.commands) for r in run("parsed_commands")) == want
+    nets = [ipaddress.ip_network(x) for x in ("10.0.0.0/8", "192.168.0.0/16", "128.0.0.0/1")]
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    ips = {(i, ip) for i, t in enumerate(bodies) for ip in re.findall(rf"\b(?:{octet}\.){{3}}{octet}\b", t or "", re.ASCII)}
+    got = run("cidr_match_all")
+    assert len([ip for i, ip in ips if i == len(bodies) - 2]) >= 4
+    assert sorted(map(tuple, got)) == sorted((i, ip, *(ipaddress.ip_address(ip) in n for n in nets)) for i, ip in ips)
+    key = lambda r: (-r.noise, r.doc_id, r.line, r.rule_id)
+    rows = run("ordered_findings")
+    assert len(rows) > 70 and [key(r) for r in rows] == sorted(key(r) for r in run("predictive_findings"))
