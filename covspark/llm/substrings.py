@@ -122,6 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     if window < 2 * MARGIN + 2 * 2 * 2**ROUNDS - 1:
         raise ValueError("a window must be long enough to hold a symbol and its margins")
     spark, store = docs.sparkSession, Store(docs.sparkSession, "substrings")
+    masks_of = [f"mask{b}" for b in range(-(-(window - 2 * MARGIN) // 32))]  # a group's windows, 32 to a mask
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(key, text).alias("row"), (F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)).alias("all"))
     copies = store.keep(source.where(F.col("t").isNotNull()).groupBy("a", "b").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", "first"), "copies")
     flagged = source.join(_narrow(copies, copies.count()), ["a", "b"], "left")
@@ -166,10 +167,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     chosen = distinct.join(_narrow(asked.select("row"), n), "row", "left_semi") if n <= BROADCAST_ROWS else distinct
     spelt = store.keep(chosen.dropDuplicates(["row"]).join(asked, "row").select("t", "groups").mapInArrow(tidy(spell), "context long, offset short, hash long, whole long, nth short, c long"), "spelt")
     repeated = store.keep(spelt.groupBy("context", "offset", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("context", "offset", "hash"), "repeated")
-    masks = spelt.join(repeated, ["context", "offset", "hash"], "left_semi").groupBy("context", "whole").agg(F.bit_or(F.expr("shiftleft(1, int(nth))")).alias("mask"))
-    alone = kinds.where("c > 1").select("context", "whole", F.lit(-1).alias("mask"))
+    masks = spelt.join(repeated, ["context", "offset", "hash"], "left_semi").groupBy("context", "whole").agg(*(F.bit_or(F.expr(f"if(nth div 32 = {b}, shiftleft(1, nth % 32), 0)")).alias(m) for b, m in enumerate(masks_of)))
+    alone = kinds.where("c > 1").select("context", "whole", *(F.lit(-1).alias(m) for m in masks_of))
     masks = store.keep(alone.unionByName(masks.join(alone, ["context", "whole"], "left_anti")), "masks")
-    hits = store.keep(shared.join(masks, ["context", "whole"]).groupBy("row").agg(F.collect_list(F.struct("first", "count", "mask")).alias("hits")), "hits")
+    hits = store.keep(shared.join(masks, ["context", "whole"]).groupBy("row").agg(F.collect_list(F.struct("first", "count", *masks_of)).alias("hits")), "hits")
     store.drop("twice", "several", "repeated", "shared", "kinds", "asked", "spelt", "masks")
 
     # 3. remove: words that a repeated window covers
@@ -182,10 +183,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 if lists.null_count:
                     lists = lists.fill_null([])
                 at = np.asarray(lists.offsets)
-                first, count, mask = (np.asarray(lists.values.field(i))[at[0] : at[-1]].astype(np.int64) for i in range(3))
+                first, count, *mask = (np.asarray(lists.values.field(i))[at[0] : at[-1]].astype(np.int64) for i in range(2 + len(masks_of)))
                 place = ranges(np.repeat(w.at[:-1], np.diff(at)) + first, count)
                 nth = ranges(np.zeros(len(first), np.int64), count)
-                place = place[np.repeat(mask, count) >> nth & 1 == 1]
+                place = place[np.stack(mask)[nth >> 5, np.repeat(np.arange(len(first)), count)] >> (nth & 31) & 1 == 1]
                 total = int(w.at[-1])
                 marks = np.bincount(place, minlength=total + 1) - np.bincount(place + window, minlength=total + 1)[: total + 1]
                 gone = np.cumsum(marks[:total]) > 0

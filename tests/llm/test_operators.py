@@ -180,6 +180,23 @@ def test_substrings_of_few_words(spark, seed):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("window", [31, 64, 100, 130])
+def test_substrings_of_other_windows(spark, window):
+    """Groups of more windows than an integer has bits, several kinds to a context."""
+    rnd = random.Random(window)
+    shared = [[f"w{rnd.randrange(10**6)}" for _ in range(3 * window)] for _ in range(4)]
+    texts = []
+    for k in range(60):
+        copy = list(shared[k % 4])
+        for _ in range(k % 5):
+            copy[rnd.randrange(len(copy))] = f"x{k % 7}"
+        a = rnd.randrange(window)
+        texts.append(" ".join([f"y{k}", *copy[a : a + window + rnd.randrange(window)], f"z{k}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(substrings.remove_repeats(df, window=window))
+    assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == brute_repeats(texts, window)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, len(TEXTS), 2)] + [(0, None), (2, 0)], "doc_id long, quality int")
     out = quality.score(docs, labels, F.col("source"), F.col("lang")).toPandas()
