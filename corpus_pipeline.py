@@ -15,10 +15,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, `und`, go; lang becomes the language found."""
+    """Texts without a letter go; lang becomes the language found, and stays where none could be learned."""
     prepare(spark)
-    found = langid.identify(docs, carry=True).where(F.col("lang_pred") != "und")
-    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    found = langid.identify(docs, carry=True).where("lettered")
+    lang = F.when(F.col("lang_pred") == "und", F.col("row.lang")).otherwise(F.col("lang_pred"))
+    return found.select(*(lang.alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

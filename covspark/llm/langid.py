@@ -188,7 +188,7 @@ def phrases(s: np.ndarray, at: np.ndarray, tables: list[Automaton]) -> np.ndarra
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: bool = False) -> DataFrame:
-    """key, held_out, lang_pred, score for every row; with carry, a struct of all of docs' columns, row, too.
+    """key, held_out, lang_pred, score for every row; with carry, a struct of all of docs' columns, row, and whether the text has a letter, lettered, too.
 
     Learned from rows with a lang whose crc32(key as text) mod 5 is not 0: of each
     lang at most SAMPLE_DOCS texts and SAMPLE_LETTERS symbols, chosen by the key's
@@ -217,7 +217,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             for piece in pieces(batch, "t", 1 << 20):
                 s, at = symbols(piece.column(1).to_pylist(), codes)
                 lettered = np.concatenate([[0], np.cumsum(s != GAP)])
-                known = (lettered[at[1:]] > lettered[at[:-1]]) & bool(langs)
+                has = lettered[at[1:]] > lettered[at[:-1]]
+                known = has & bool(langs)
                 if langs:
                     bits = phrases(s, at, tables) * weight / np.maximum(1, np.diff(at))[:, None]
                     best = bits.argmin(1)
@@ -226,12 +227,12 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 else:
                     best, score = np.zeros(len(piece), int), np.zeros(len(piece))
                 names = np.array([*langs, "und"], object)[np.where(known, best, len(langs))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), piece.column(2)], ["k", "lang_pred", "score", "row"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(has), piece.column(2)], ["k", "lang_pred", "score", "lettered", "row"])
 
     kind = rows.schema["k"].dataType.simpleString()
     lean = rows.select("k", F.lit(None).cast("string").alias("t"), "row") if carry else rows.select("k", "t", "row")  # a carried text is sent once
-    found = lean.mapInArrow(tidy(run), f"k {kind}, lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}")
-    return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))
+    found = lean.mapInArrow(tidy(run), f"k {kind}, lang_pred string, score double, lettered boolean, row {rows.schema['row'].dataType.simpleString()}")
+    return found.select(F.col("k").alias(key), F.coalesce(part == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["row", "lettered"] if carry else []))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_pipeline_stages_keep_columns(spark, odd, tmp_path):
         assert docs.columns == odd.columns
         assert docs.where("k <> 'clash' OR k IS NULL").count() == 0
     assert sorted(r.text for r in docs.collect()) == ["one two", "é" * 50]
+
+
+def test_pipeline_keeps_texts_when_no_language_is_known(spark, tmp_path):
+    import corpus_pipeline
+
+    data = [(1, "one two", None), (2, "123 !?", None), (3, None, None), (4, "é", None), (None, "word", None), (None, "other", "xx")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs.where("lang IS NULL"), str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == ["one two", "word", "é"] and {r.lang for r in got} == {None}
+    got = corpus_pipeline.language(spark, docs.where("doc_id IS NULL"), str(tmp_path)).collect()
+    assert sorted((r.text, r.lang or "") for r in got) == [("other", "xx"), ("word", "")]
