@@ -2,8 +2,9 @@
 
 The training texts are cut into segments of bounded size. A segment's postings,
 a row for each of its terms with the places at which it stands, are stored; a
-segment holds whole texts, so a phrase never spans two. Test phrases are found
-by intersecting offset-adjusted lists within each segment, rarest term first.
+segment holds whole texts, and no match spans two. Test phrases are found by
+intersecting offset-adjusted lists within each segment, rarest term first, exactly
+and by proximity. A term is known by 128 bits of its word.
 """
 
 from __future__ import annotations
@@ -22,39 +23,43 @@ from .store import Store, table
 WINDOW = 10
 SEGMENT_BYTES = 1 << 23  # of text in a segment, about; one text at least
 BLOCK_WORDS = 1 << 20  # of test words searched at once, and broadcast
-DOCS_TERM = 0  # a segment's row of texts has this term
+CANDIDATES = 1 << 20  # candidate places examined at once, about
+SLACK = 1  # ordinals by which a word of a proximity match may stand off, in the query
 
 
-def item_words(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts, one text after another, and their n + 1 offsets."""
-    w = words(items, plain_words(), fold=True)
-    return w.hash, w.at
+def item_words(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the words of texts, one text after another, and their n + 1 offsets."""
+    w = words(items, plain_words(), fold=True, versions=2)
+    return w.hash, w.check, w.at
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """segment, term, places: postings of every word of every text.
+    """segment, term, check, places: postings of every word of every text.
 
-    places are little-endian int32 ordinals of words in the segment. The row of
-    term DOCS_TERM holds instead each text's first ordinal (and the end), keys has
+    places are little-endian int32 ordinals of words in the segment. The row without
+    a term holds instead each text's first ordinal (and the end), keys has
     the texts' keys in that order. Null and empty texts are there with no words.
     """
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = source.schema["k"].dataType.simpleString()
 
     def segment(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts).combine_chunks()
         keys, column = whole.column(0).combine_chunks(), whole.column(1).combine_chunks()
-        hashes, at = item_words(column)
-        hashes = np.where(hashes == DOCS_TERM, np.uint64(1), hashes)
-        order = np.argsort(hashes, kind="stable").astype(np.int32)
-        ordered = hashes[order]
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        term, check, at = item_words(column)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        a, b = term[order], check[order]
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # words that differ in their second hash only
+            order = np.lexsort((check, term)).astype(np.int32)
+            a, b = term[order], check[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         raw = np.concatenate([at.astype("<i4"), order.astype("<i4")])
-        edges = np.concatenate([[0], len(at) + new, [len(raw)]]) * 4 if len(ordered) else np.array([0, len(raw) * 4])
+        edges = np.concatenate([[0], len(at) + new, [len(raw)]]) * 4 if len(a) else np.array([0, len(raw) * 4])
         n = len(edges) - 1
         places = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
-        terms = pa.array(np.concatenate([[DOCS_TERM], signed(ordered[new])]).astype(np.int64))
+        terms, checks = (pa.array(np.concatenate([[0], signed(x[new])]).astype(np.int64), mask=np.arange(n) == 0) for x in (a, b))
         own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(n, len(keys))]).astype(np.int32)), keys)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, uuid.uuid4().int & ((1 << 62) - 1))), terms, places, own], ["segment", "term", "places", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, uuid.uuid4().int & ((1 << 62) - 1))), terms, checks, places, own], ["segment", "term", "check", "places", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -69,114 +74,135 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield segment(held)
 
-    return source.mapInArrow(tidy(run), "segment long, term long, places binary, keys array<long>")
+    return source.mapInArrow(tidy(run), f"segment long, term long, check long, places binary, keys array<{kind}>")
 
 
 class Tests:
-    """Distinct windows of a block of test items: rows of words, padded, and the items that have each."""
+    """Distinct windows of a block of test items: rows of term numbers, padded, and the items that have each."""
 
-    def __init__(self, ids: list[str], hashes: np.ndarray, at: np.ndarray, window: int):
+    def __init__(self, ids: list[str], term: np.ndarray, check: np.ndarray, at: np.ndarray, window: int):
         self.ids = ids
+        self.terms, number = np.unique(np.stack([term, check], 1), axis=0, return_inverse=True)
+        number = number.ravel()
         counts = np.diff(at)
         length = np.minimum(counts, window)
         begin = np.concatenate([ranges(at[:-1], np.maximum(counts - window + 1, 0)), at[:-1][(counts > 0) & (counts < window)]])
         owner = np.searchsorted(at, begin, "right") - 1
         size = length[owner]
         offset = np.arange(window)
-        words_of = np.where(offset < size[:, None], hashes[np.minimum(begin[:, None] + offset, max(0, len(hashes) - 1))] if len(hashes) else np.uint64(0), np.uint64(0))
-        rows, self.row = np.unique(np.concatenate([words_of, size[:, None].astype(np.uint64)], 1), axis=0, return_inverse=True)
+        words_of = np.where(offset < size[:, None], number[np.minimum(begin[:, None] + offset, max(0, len(number) - 1))] if len(number) else 0, 0)
+        rows, self.row = np.unique(np.concatenate([words_of, size[:, None]], 1), axis=0, return_inverse=True)
         self.row, self.owner = self.row.ravel(), owner
-        self.words, self.size = rows[:, :-1], rows[:, -1].astype(np.int64)
-        self.terms = np.unique(hashes)
+        self.words, self.size = rows[:, :-1], rows[:, -1]
 
 
-def phrases(tests: Tests, terms: np.ndarray, lists: list[np.ndarray], total: int, bounds: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences (window row, first ordinal) of all test windows in a segment.
+def phrases(tests: Tests, terms: np.ndarray, lists: list[np.ndarray], bounds: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (window row, first ordinal, text) of all test windows in a segment, whose texts begin at bounds.
 
-    A window's candidates are the places of its rarest term there, less the term's
-    offset; the other terms' lists cut them down, by rising length. With slack, a
-    word may stand up to so many ordinals from its place (a proximity match).
+    terms are the numbers of the segment's test terms, in order. A window's candidates
+    are the places of its rarest term there, less the term's offset; the other terms'
+    lists cut them down, by rising length. All words stand in one text. With slack
+    there is a match at p if every word j of the window stands at some place from
+    p + j - slack to p + j + slack, whichever the segment's rarest term is.
     """
-    n = len(terms)
-    slot = np.searchsorted(terms, tests.words)
-    there = np.minimum(slot, max(0, n - 1))
-    offset = np.arange(tests.words.shape[1])
-    used = offset < tests.size[:, None]
-    sizes = np.array([len(x) for x in lists] + [0], np.int64)
-    have = (terms[there] == tests.words) if n else np.zeros(tests.words.shape, bool)
-    alive = np.flatnonzero((have | ~used).all(1) & (tests.size > 0))
+    n, total = len(terms), int(bounds[-1])
+    none = (np.zeros(0, np.int64),) * 3
+    if not n or not len(tests.words):
+        return none
+    there = np.minimum(np.searchsorted(terms, tests.words), n - 1)
+    used = np.arange(tests.words.shape[1]) < tests.size[:, None]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    alive = np.flatnonzero(((terms[there] == tests.words) | ~used).all(1) & (tests.size > 0))
     if not len(alive):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     at = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
+    flat = np.concatenate(lists).astype(np.int64)
     term_at = np.zeros(total, np.int32)  # the term of each ordinal, or 0: lists inverted for the intersection
-    term_at[flat] = np.repeat(np.arange(1, n + 1), sizes[:n])
+    term_at[flat] = np.repeat(np.arange(1, n + 1), sizes)
     order = np.argsort(np.where(used[alive], sizes[there[alive]], np.iinfo(np.int64).max), axis=1, kind="stable")
     rarest = there[alive, order[:, 0]]
-    row = np.repeat(alive, sizes[rarest])
-    start = flat[ranges(at[rarest], sizes[rarest])] - np.repeat(order[:, 0], sizes[rarest])
-    nth = np.repeat(np.arange(len(alive)), sizes[rarest])
-    keep = (start >= 0) & (start + tests.size[row] <= total)
-    row, start, nth = row[keep], start[keep], nth[keep]
-    for j in range(1, tests.words.shape[1]):
-        o = order[nth, j]
-        asked = j < tests.size[row]
-        place, want = start + o, there[row, o] + 1
-        ok = ~asked
+    upto = np.cumsum(sizes[rarest])
+    found = []
+    a = 0
+    while a < len(alive):  # so many windows at once that their candidates are bounded
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CANDIDATES, "right")))
+        row, own = alive[a:b], rarest[a:b]
+        place = flat[ranges(at[own], sizes[own])]
+        text = np.searchsorted(bounds, place, "right") - 1
+        nth = np.repeat(np.arange(a, b), sizes[own])
         for shift in range(-slack, slack + 1):
-            spot = place + shift
-            inside = (spot >= 0) & (spot < total)
-            ok |= inside & (term_at[np.where(inside, spot, 0)] == want)
-        row, start, nth = row[ok], start[ok], nth[ok]
-    owner = np.searchsorted(bounds, start, "right")
-    same = owner == np.searchsorted(bounds, start + tests.size[row] - 1, "right")
-    return row[same], start[same]
+            start, doc, nth_ = place - order[nth, 0] + shift, text, nth
+            for j in range(1, tests.words.shape[1]):
+                row = alive[nth_]
+                o = order[nth_, j]
+                ok = j >= tests.size[row]
+                want, low, high = there[row, o] + 1, bounds[doc], bounds[doc + 1]
+                for off in range(-slack, slack + 1):
+                    spot = start + o + off
+                    inside = (spot >= low) & (spot < high)
+                    ok |= inside & (term_at[np.where(inside, spot, 0)] == want)
+                start, doc, nth_ = start[ok], doc[ok], nth_[ok]
+            found.append((alive[nth_], start, doc))
+        a = b
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _per_text(text: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def search(index: DataFrame, tests: Tests, slack: int = 0) -> DataFrame:
-    """key, n_words, hit (first ordinals and lengths within the text), items, for each text of the index.
+    """key, n_words, hit (first ordinals and lengths within the text), items and near (those with a proximity match), for each text of the index.
 
     Only postings of test terms leave the index; a segment's meet in one task.
     """
     spark = index.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(int(x),) for x in signed(tests.terms)] + [(DOCS_TERM,)], "term long"))  # at most BLOCK_WORDS
+    asked = spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(signed(tests.terms).tolist())] + [(None, None, -1)], "term long, check long, number int")
     shared = spark.sparkContext.broadcast(tests)
+    kind = index.schema["keys"].dataType.elementType.simpleString()
 
     def run(whole: pa.Table) -> pa.Table:
         tests = shared.value
-        term = whole.column("term").to_numpy().view(np.uint64) if len(whole) else np.zeros(0, np.uint64)
-        order = np.argsort(term)
+        number = whole.column("number").to_numpy()
+        order = np.argsort(number)
         places = whole.column("places").combine_chunks()
-        lists = [np.frombuffer(places[int(i)].as_buffer(), "<i4") for i in order]
-        bounds = lists[0].astype(np.int64)
+        bounds, *lists = (np.frombuffer(places[int(i)].as_buffer(), "<i4") for i in order)
+        bounds = bounds.astype(np.int64)
         keys = whole.column("keys")[int(order[0])].values
-        row, start = phrases(tests, term[order][1:], lists[1:], int(bounds[-1]), bounds[1:], slack)
-        owner = np.searchsorted(bounds[1:], start, "right")
-        by_row = np.argsort(tests.row, kind="stable")
-        first, last = (np.searchsorted(tests.row[by_row], row, side) for side in ("left", "right"))
-        pairs = np.unique(np.stack([np.repeat(owner, last - first), tests.owner[by_row][ranges(first, last - first)]], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
         n = len(keys)
-        at = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+        by_row = np.argsort(tests.row, kind="stable")
         names = np.array(tests.ids, object)
-        items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(names[pairs[:, 1]] if len(pairs) else [], pa.string()))
-        best = np.unique(np.stack([owner, start - bounds[owner], tests.size[row]], 1), axis=0) if len(row) else np.zeros((0, 3), np.int64)
-        spans = pa.StructArray.from_arrays([pa.array(best[:, 1]), pa.array(best[:, 2])], ["begin", "size"])
-        hit = pa.ListArray.from_arrays(pa.array(np.searchsorted(best[:, 0], np.arange(n + 1)).astype(np.int32)), spans)
-        return pa.table({"segment": pa.array(np.full(n, whole["segment"][0].as_py())), "nth": pa.array(np.arange(n)), "k": keys, "n_words": pa.array(np.diff(bounds)), "hit": hit, "items": items})
 
-    kind = "segment long, nth long, k long, n_words long, hit array<struct<begin:long,size:long>>, items array<string>"
-    return index.join(asked, "term").groupBy("segment").applyInArrow(run, kind)
+        def items(row: np.ndarray, text: np.ndarray) -> pa.Array:
+            once = np.unique(np.stack([text, row], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+            first, last = (np.searchsorted(tests.row[by_row], once[:, 1], side) for side in ("left", "right"))
+            pairs = np.unique(np.stack([np.repeat(once[:, 0], last - first), tests.owner[by_row][ranges(first, last - first)]], 1), axis=0) if len(row) else once
+            return _per_text(pairs[:, 0], n, pa.array(names[pairs[:, 1]] if len(pairs) else [], pa.string()))
+
+        row, start, text = phrases(tests, number[order][1:], lists, bounds)
+        best = np.unique(np.stack([text, start - bounds[text], tests.size[row]], 1), axis=0) if len(row) else np.zeros((0, 3), np.int64)
+        hit = _per_text(best[:, 0], n, pa.StructArray.from_arrays([pa.array(best[:, 1]), pa.array(best[:, 2])], ["begin", "size"]))
+        exact = items(row, text)
+        if slack:
+            row, _, text = phrases(tests, number[order][1:], lists, bounds, slack)
+        return pa.table({"segment": pa.array(np.full(n, whole["segment"][0].as_py())), "nth": pa.array(np.arange(n)), "k": keys, "n_words": pa.array(np.diff(bounds)), "hit": hit, "items": exact, "near": items(row, text) if slack else exact})
+
+    kind = f"segment long, nth long, k {kind}, n_words long, hit array<struct<begin:long,size:long>>, items array<string>, near array<string>"
+    met = index.join(F.broadcast(asked.withColumnsRenamed({"term": "x", "check": "y"})), F.col("term").eqNullSafe(F.col("x")) & F.col("check").eqNullSafe(F.col("y")))  # at most BLOCK_WORDS terms
+    return met.select("segment", "number", "places", "keys").groupBy("segment").applyInArrow(run, kind)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, key: str = "doc_id", text: str = "text", item: str = "item_id", store: Store | None = None) -> DataFrame:
-    """key, n_words, n_hit, items (sorted as strings), spans (begin, size of hit runs' windows).
+    """key, n_words, n_hit, items (sorted as strings), spans (begin, size of hit windows), near.
 
     Words are [0-9a-z and all beyond ASCII]+ after A-Z became a-z. An occurrence is
-    that of window consecutive words of an item, or of all of a shorter item's; with
-    slack > 0 words may be displaced (proximity). Test items are searched in blocks of
-    about BLOCK_WORDS words, each broadcast, against all postings. Null texts have
-    no words; items without words hit nothing; items with a null id are named "", items
-    of one id count as one; rows that repeat a key stay rows of their own; an empty benchmark hits nothing.
+    that of window consecutive words of an item, or of all of a shorter item's. near
+    has, sorted, the items with a proximity match, where each word may stand up to
+    slack places off (with no slack, it equals items); it decides nothing else. Test
+    items are searched in blocks of about BLOCK_WORDS words, each broadcast, against
+    all postings. Null texts have no words; items without words hit nothing; items
+    with a null id are named "", items of one id count as one; rows that repeat a key
+    stay rows of their own; an empty benchmark hits nothing. Keys may be of any type.
     """
     spark = docs.sparkSession
     store = store or Store(spark, "postings")
@@ -186,14 +212,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     blocks, found = max(1, -(-weight // (4 * BLOCK_WORDS))), []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().toArrow()
-        hashes, at = item_words(block.column("t").combine_chunks()) if len(block) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        part = search(index, Tests(block.column("i").to_pylist(), np.where(hashes == DOCS_TERM, np.uint64(1), hashes), at, window), slack)
+        hashes = item_words(block.column("t").combine_chunks()) if len(block) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        part = search(index, Tests(block.column("i").to_pylist(), *hashes, window), slack)
         found.append(store.keep(part, f"found{b}") if blocks > 1 else part)
     every = found[0]
     if len(found) > 1:  # each block returns every text, known by its segment and place there
         for more in found[1:]:
             every = every.unionByName(more)
-        every = every.groupBy("segment", "nth", "k", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        every = every.groupBy("segment", "nth", "k", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,14 +231,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             owner = np.repeat(np.arange(len(n)), np.diff(at))
             marks = np.bincount(base[owner] + begin, minlength=int(base[-1]) + 1) - np.bincount(base[owner] + begin + size, minlength=int(base[-1]) + 1)
             covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((covered[base[1:]] - covered[base[:-1]]).astype(np.int64)), hit, batch.column(3)], ["k", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((covered[base[1:]] - covered[base[:-1]]).astype(np.int64)), hit, batch.column(3), batch.column(4)], ["k", "n_words", "n_hit", "spans", "items", "near"])
 
-    out = every.select("k", "n_words", "hit", "items").mapInArrow(tidy(cover), "k long, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>")
-    return out.select(F.col("k").alias(key), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
+    kind = every.schema["k"].dataType.simpleString()
+    out = every.select("k", "n_words", "hit", "items", "near").mapInArrow(tidy(cover), f"k {kind}, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>, near array<string>")
+    return out.select(F.col("k").alias(key), "n_words", "n_hit", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near")), "spans")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=SLACK)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"))

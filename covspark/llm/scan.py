@@ -1,8 +1,10 @@
-"""Vectorised scans of Arrow string columns: words, their 64-bit hashes, windows.
+"""Vectorised scans of Arrow string columns: words, their hashes, windows.
 
-Nothing here makes a Python object per word. A block of bytes is hashed by
-prefix sums of a polynomial modulo 2**64 over random byte values, so a word's or
-a window's hash is one subtraction and one product.
+Nothing here makes a Python object per word. A word's hash is the sum of a random
+value for each of its bytes at its place in the word, so prefix sums give it by one
+subtraction; a window's is made from those of its halves by a bijection that is not
+linear, so no pattern of words cancels out. Either comes in independent versions of
+64 bits: two make 128.
 """
 
 from __future__ import annotations
@@ -31,22 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+SPOTS = 64  # places in a word that have values of their own in a table, 2**6; those beyond are mixed from them
 
 
 @cache
-def byte_values(fold: bool) -> np.ndarray:
-    """A random 64-bit value per byte; with fold, A-Z have the values of a-z."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+def byte_values(fold: bool, version: int) -> np.ndarray:
+    """A random 64-bit value per place and byte, flat; with fold, A-Z have the values of a-z."""
+    values = mix(mix(np.arange(1, 256 * SPOTS + 1, dtype=np.uint64) * _BASE) + np.uint64(version)).reshape(SPOTS, 256)
     if fold:
-        values[65:91] = values[97:123]
-    return values
+        values[:, 65:91] = values[:, 97:123]
+    return values.ravel()
 
 
 def white_words() -> np.ndarray:
@@ -89,13 +85,14 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = CHUNK) -> Iterator[pa.R
 
 @dataclass
 class Words:
-    """Words of some texts: those of text i are rows at[i]:at[i + 1]."""
+    """Words of some texts: those of text i are rows at[i]:at[i + 1]. check is a second hash, if asked for."""
 
     data: np.ndarray
     at: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    check: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
@@ -104,11 +101,10 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), self.counts())
 
 
-def words(column: pa.Array, inside: np.ndarray, fold: bool = False) -> Words:
-    """All words of every text, hashed; a word ends with its text."""
+def words(column: pa.Array, inside: np.ndarray, fold: bool = False, versions: int = 1) -> Words:
+    """All words of every text, hashed once or in two versions; a word ends with its text."""
     data, at = utf8(column)
-    values = byte_values(fold)
-    begins, ends, hashes = [], [], []
+    begins, ends, hashes = [], [], [[] for _ in range(versions)]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[at] = True
     a, n = 0, len(data)
@@ -130,29 +126,50 @@ def words(column: pa.Array, inside: np.ndarray, fold: bool = False) -> Words:
         end = own.copy()
         end[:-1] &= ~own[1:] | new[1:-1]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        up, down = powers(max(BLOCK, 1 << (b - a).bit_length()))
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(values[part] * up[: b - a], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        size = e - s
+        place = np.arange(b - a, dtype=np.int32) - np.repeat(np.concatenate([[0], s]).astype(np.int32), np.diff(np.concatenate([[0], s, [b - a]])))
+        spot = ((place & (SPOTS - 1)) << 8) | part
+        far = np.flatnonzero((place >= SPOTS) & own) if len(size) and size.max() > SPOTS else None
+        for version, found in enumerate(hashes):
+            values = byte_values(fold, version)[spot]
+            if far is not None:
+                values[far] = mix(values[far] + (place[far] >> 6).astype(np.uint64) * _BASE)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(values, out=sums[1:])
+            found.append(mix(sums[e] - sums[s] + size.astype(np.uint64)))
         begins.append(s + a)
         ends.append(e + a)
         a = b
-    begin, end, hashed = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((begins, np.int64), (ends, np.int64), (hashes, np.uint64)))
-    return Words(data, np.searchsorted(begin, at), begin, end, hashed)
+    begin, end, *hashed = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((begins, np.int64), (ends, np.int64), *((x, np.uint64) for x in hashes)))
+    return Words(data, np.searchsorted(begin, at), begin, end, hashed[0], hashed[-1] if versions > 1 else np.zeros(0, np.uint64))
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mix(left * _BASE + right)
 
 
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of so many consecutive values; len(hashes) - length + 1 of them."""
+    """A hash of each run of so many consecutive values; len(hashes) - length + 1 of them.
+
+    Runs of 1, 2, 4, ... values are hashed from their halves, and those that
+    length is the sum of are joined.
+    """
     if len(hashes) < length:
         return np.zeros(0, np.uint64)
-    out = np.empty(len(hashes) - length + 1, np.uint64)
-    for a in range(0, len(out), BLOCK):  # by blocks: the power tables stay in cache
-        part = hashes[a : a + BLOCK + length - 1]
-        up, down = powers(1 << (BLOCK + length).bit_length())
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * up[: len(part)], out=sums[1:])
-        m = len(part) - length + 1
-        out[a : a + m] = mix((sums[length:] - sums[:m]) * down[:m])
+    n = len(hashes) - length + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):  # by blocks: what is in hand stays in cache
+        m = min(BLOCK, n - a)
+        level, size, whole, done = hashes[a : a + m + length - 1], 1, None, 0
+        while True:
+            if length & size:
+                part = level[done : done + m]
+                whole, done = part if whole is None else joined(whole, part), done + size
+            if done == length:
+                break
+            level, size = joined(level[:-size], level[size:]), 2 * size
+        out[a : a + m] = mix(whole)
     return out
 
 
