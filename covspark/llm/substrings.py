@@ -1,60 +1,204 @@
 """Substring dedup by recompression.
 
-Rounds name runs and pairs of symbols by a hash of what they stand for, so equal
-words far enough inside equal texts become equal symbols everywhere, with no
-table of names to share. A symbol that two places have, with the words around
-it that every window through it must hold, reveals a repeat; the windows there
-are then verified by their whole word sequences.
+Texts become sequences of names. In each round runs of a name, of any length, and
+then pairs of a left and a right name, twice, become symbols; Spark gives every
+distinct symbol of the whole corpus one name and drops those that occur once. Equal
+words far enough inside equal texts so become equal symbols everywhere, and a window
+that holds a symbol without a second place is out. In the end a symbol that stands
+inside a window, with the words around it that decide it, reveals a repeat; windows
+there are then verified by the names of all their words.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import mix, pieces, powers, ranges, signed, starts, tidy, white_words, windows, words
-from .store import Store, table
+from .scan import joined, mix, pieces, ranges, signed, starts, tidy, white_words, windows, words
+from .store import BROADCAST_ROWS, Store, narrow, table
 
 WINDOW = 35
-ROUNDS = 2  # of pairs, after one of runs: symbols of up to 2 * 2**ROUNDS words
-MARGIN = 2 + 2 + 2 ** ROUNDS  # words on either side of a symbol that decide it: 2 for runs, then the longest symbol of each round
-BROADCAST_ROWS = 1 << 20  # narrow rows that may be broadcast
+PAIRS = 2  # times that a round names pairs, after runs
+SEGMENT_BYTES = 1 << 21  # of text in a segment, whose symbols a task holds at once; one text at least
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
-def recompress(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last round's symbols and the word at which each begins.
+def rounds_of(window: int) -> int:
+    """So many rounds that the words which decide a symbol, on average, leave it more than half of a window."""
+    rounds, margin, size = 0, 0.0, 1.0
+    while True:
+        margin += size + sum(size / 2 * (4 / 3) ** i for i in range(PAIRS))
+        if 2 * margin > 0.45 * window:
+            return max(1, rounds)
+        rounds, size = rounds + 1, size * (4 / 3) ** PAIRS
 
-    Round 0 names runs of exactly two equal words. Each later round gives every
-    symbol a side by a bit of its hash and names each pair of a left and a right
-    one. Which symbols form at a place depends on MARGIN words around it only.
+
+def codes_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys of two numbers: a code for each, the distinct keys by code, and how often each occurs."""
+    order = np.argsort(x, kind="stable")
+    a, b = x[order], y[order]
+    if len(x) and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((y, x))
+        a, b = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    code = np.empty(len(x), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code, np.stack([a[new], b[new]], 1), np.diff(np.append(np.flatnonzero(new), len(x)))
+
+
+@dataclass
+class Part:
+    """Spans of texts of a segment that windows not yet ruled out cover, and their symbols.
+
+    Word m of the spans has the name word[m]; spans begin at words at[:-1]; symbol k is
+    size[k] words from begin[k] (a span's ends may be outside all symbols). For a window
+    that begins at word p the symbols from left[p] on, and for one that ends with word q
+    those up to right[q], are the same wherever the window stands; gone[p] tells that
+    the window at p has no second place. A name of 0 is that of a symbol with one place.
     """
-    symbol, begin = h, np.arange(len(h))
-    same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-    before, after = np.concatenate([[False], same[:-1]]), np.concatenate([same[1:], [False]])
-    for turn in range(ROUNDS + 1):
-        if len(symbol) < 2:
-            break
-        if turn:
-            left = mix(symbol + np.uint64(turn)) >> np.uint64(63) == 1
-            pair = left[:-1] & ~left[1:] & (owner[begin[1:]] == owner[begin[:-1]])
-        else:
-            pair = same & ~before & ~after
-        first = np.flatnonzero(pair)
-        named = symbol.copy()
-        named[first] = mix(mix(symbol[first] * np.uint64(3) + np.uint64(turn)) + symbol[first + 1])
-        keep = np.ones(len(symbol), bool)
-        keep[first + 1] = False
-        symbol, begin = named[keep], begin[keep]
-    return symbol, begin
+
+    one: np.ndarray  # texts by 128 bits
+    two: np.ndarray
+    text: np.ndarray  # of each span
+    first: np.ndarray  # the span's first word in its text
+    at: np.ndarray
+    word: np.ndarray
+    name: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    gone: np.ndarray
+    code: np.ndarray  # of each symbol among the keys that await names, -1 if it has its name
+
+    def edges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that begin at left and that end at right of each word, -1 for none, where these move to the span's far end."""
+        begins, ends = np.full((2, len(self.word) + 1), -1)
+        begins[self.begin] = ends[self.begin + self.size] = np.arange(len(self.begin))
+        first, last = np.where(self.left < high, begins[self.left], -1), np.where(self.right > low, ends[self.right], -1)
+        self.left, self.right = np.where(first < 0, high, self.left), np.where(last < 0, low, self.right)
+        return first, last
+
+    def parse(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A round over symbols whose names are x and y together: runs, then pairs. The keys of all symbols after it."""
+        void, fresh = self.name == 0, np.zeros(len(x), bool)
+        low, high = (np.repeat(e, np.diff(self.at)) for e in (self.at[:-1], self.at[1:]))
+        for turn in range(PAIRS + 1):
+            n = len(x)
+            if not n:
+                break
+            end = self.begin + self.size
+            joint = np.zeros(n, bool)  # whether the symbol directly follows the one before, in its span
+            joint[1:] = (self.begin[1:] == end[:-1]) & (low[self.begin[1:]] == low[self.begin[:-1]])
+            first, last = self.edges(low, high)
+            if turn == 0:
+                more = joint & ~void
+                more[1:] &= (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+                head = np.flatnonzero(~more)
+                count = np.diff(np.append(head, n))
+                to_end = end[np.append(head[1:], n) - 1]  # where each run ends
+                run = np.cumsum(~more) - 1
+                self.left = np.where(first >= 0, to_end[run[first]], self.left)
+                self.right = np.where(last >= 0, self.begin[head[run[last]]], self.right)
+                long = count > 1
+            else:
+                side = mix(x + np.uint64(turn)) >> np.uint64(63) == 1
+                is_left, is_right = side & ~void, ~side & ~void
+                self.left = np.where((first >= 0) & is_right[first], end[first], self.left)
+                self.right = np.where((last >= 0) & is_left[last], self.begin[last], self.right)
+                pair = np.zeros(n, bool)
+                pair[:-1] = is_left[:-1] & is_right[1:] & joint[1:]
+                head = np.flatnonzero(~np.concatenate([[False], pair[:-1]]))
+                count = np.diff(np.append(head, n))
+                long = count > 1
+            tail = np.append(head[1:], n) - 1
+            keys = []
+            for z in (x, y):
+                other = count.astype(np.uint64) if turn == 0 else z[tail]
+                keys.append(np.where(long, joined(joined(z[head], np.uint64(turn + 1)), other), z[head]))
+            x, y = keys
+            self.size, self.begin, void = end[tail] - self.begin[head], self.begin[head], void[head]
+            self.name, self.code = np.where(long, np.uint64(1), self.name[head]), self.code[head]
+            fresh = fresh[head] | long
+        self.code[fresh] = 0
+        return x, y
+
+    def settle(self, names: np.ndarray, window: int) -> None:
+        """Give awaited names (0: none), rule windows out, and leave what the others cover."""
+        waits = self.code >= 0
+        self.name[waits] = names[self.code[waits]]
+        lone = np.concatenate([[0], np.cumsum(self.word == 0)])
+        void = np.zeros(len(self.word) + 1, np.int64)
+        void[self.begin[self.name == 0] + 1] = 1
+        void = np.cumsum(void)
+        place = starts(self.at, window)
+        low, high = self.left[place], np.maximum(self.left[place], self.right[place + window - 1])
+        self.gone[place] |= (lone[place + window] > lone[place]) | (void[high] > void[low])
+        place = place[~self.gone[place]]
+        marks = np.bincount(place, minlength=len(self.word) + 1) - np.bincount(place + window, minlength=len(self.word) + 1)
+        live = np.cumsum(marks)[:-1] > 0
+        new = live.copy()
+        new[1:] &= ~live[:-1]
+        new[self.at[:-1]] = live[self.at[:-1]]  # texts stay apart
+        begin = np.flatnonzero(new)
+        where = np.concatenate([[0], np.cumsum(live)])
+        old = np.searchsorted(self.at, begin, "right") - 1
+        span = np.cumsum(new) - 1
+        end = self.begin + self.size
+        inside = live[self.begin] & live[end - 1] & (span[self.begin] == span[end - 1]) & (where[end] - where[self.begin] == self.size)
+        self.text, self.first = self.text[old], self.first[old] + begin - self.at[old]
+        self.at = np.append(where[begin], where[-1])
+        low, high = (np.repeat(e, np.diff(self.at)) for e in (self.at[:-1], self.at[1:]))
+        self.left = np.clip(where[self.left[live]], low, high)
+        self.right = np.clip(where[self.right[live]], low, high)
+        self.word, self.gone = self.word[live], self.gone[live]
+        self.begin, self.size, self.name, self.code = where[self.begin[inside]], self.size[inside], self.name[inside], np.full(int(inside.sum()), -1)
+
+    def row(self, seg: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+        return {"seg": seg, "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "body": pickle.dumps(self, 5)}
+
+
+SEQUENCE = "seg long, keys binary, counts binary, body binary"
+_SCHEMA = pa.schema([("seg", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
+
+
+def opened(one: np.ndarray, two: np.ndarray, column: pa.Array, window: int) -> tuple[Part, np.ndarray, np.ndarray] | None:
+    """The first round over texts that have a window, with keys for words and symbols; word and code hold codes yet."""
+    w = words(column, white_words(), versions=2)
+    counts = w.counts()
+    text = np.flatnonzero(counts >= window)
+    if not len(text):
+        return None
+    own = ranges(w.at[:-1][text], counts[text])
+    x, y = w.hash[own], w.check[own]
+    n = len(x)
+    code, keys, often = codes_of(x, y)
+    at = np.concatenate([[0], np.cumsum(counts[text])])
+    part = Part(one, two, text, np.zeros(len(text), np.int64), at, code, np.ones(n, np.uint64), np.arange(n), np.ones(n, np.int64), np.arange(n), np.arange(n) + 1, np.zeros(n, bool), code.copy())
+    a, b = part.parse(x, y)
+    return part, *_await(part, a, b, keys, often)
+
+
+def _await(part: Part, x: np.ndarray, y: np.ndarray, keys: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, after those of keys, for symbols that a round has made; all keys and how often they occur."""
+    made = np.flatnonzero((part.size > 1) & (part.code == 0))
+    code, new, count = codes_of(x[made], y[made])
+    part.code[made] = len(keys) + code
+    return np.concatenate([keys, new]), np.concatenate([often, count])
 
 
 def _least(symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Of each range low..high of symbols, the place of the least hash, the first of equals."""
-    rank = mix(symbol ^ np.uint64(0xA0761D6478BD642F))
+    rank = mix(symbol ^ _OTHER)
     tables = [np.arange(len(symbol))]
     most = int((high - low).max(initial=0)) + 1
     while (1 << len(tables)) <= most:
@@ -73,37 +217,88 @@ def _least(symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Windows by the symbol that stands for them: first window, number of windows, where the
-    symbol begins, a hash of the words which all windows through it have, and one of all words
-    of the group's windows. Equal windows have equal symbols at equal offsets."""
-    place = starts(at, window)
-    if not len(place):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    symbol, begin = recompress(h, owner)
-    end = np.concatenate([begin[1:], [len(h)]])
-    low = np.searchsorted(begin, place + MARGIN, "left")
-    high = np.searchsorted(end, place + window - MARGIN, "right") - 1
-    chosen = _least(symbol, low, high)
+def spans(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each h[begin:end], none empty: of its length, its first and its last values, as many of each as a power of two."""
+    size = end - begin
+    out = np.zeros(len(begin), np.uint64)
+    level, step = h, 1
+    while len(size) and step <= size.max():
+        own = np.flatnonzero((size >= step) & (size < 2 * step))
+        out[own] = mix(joined(level[begin[own]], level[end[own] - step]) + size[own].astype(np.uint64))
+        level, step = joined(level[:-step], level[step:]), 2 * step
+    return out
+
+
+def groups(part: Part, window: int) -> tuple[np.ndarray, ...]:
+    """Windows not ruled out, by the symbol that stands for them: first window, number of windows, where
+    the symbol begins, a hash of the words which all windows through it have, and two of all words of
+    the group's windows. Equal windows have equal symbols at equal offsets; one without a symbol stands for itself."""
+    place = starts(part.at, window)
+    place = place[~part.gone[place]]
+    low, high = (np.repeat(e, np.diff(part.at)) for e in (part.at[:-1], part.at[1:]))
+    first, last = part.edges(low, high)
+    i, j = first[place], last[place + window - 1]
+    whole = np.flatnonzero((i >= 0) & (j >= i))
+    chosen = np.full(len(place), -1)
+    if len(whole):
+        chosen[whole] = _least(part.name, i[whole], j[whole])
     new = np.ones(len(place), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (place[1:] != place[:-1] + 1)
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(place)]]))
-    first, chosen = place[first], chosen[first]
-    up, down = powers(1 << (len(h) + 1).bit_length())
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    new[1:] = (chosen[1:] != chosen[:-1]) | (place[1:] != place[:-1] + 1) | (chosen[1:] < 0)
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(place)))
+    start, own = place[head], chosen[head]
+    found = own >= 0
+    begin = np.where(found, part.begin[own] if len(part.begin) else 0, start)
+    end = np.where(found, begin + (part.size[own] if len(part.begin) else 0), start + window)
+    since = np.where(found, np.searchsorted(part.left, begin, "right") - 1, start)  # the last word from which the symbol is decided
+    until = np.where(found, np.searchsorted(part.right, end, "left") + 1, start + window)
+    h = mix(part.word)
+    context = mix(spans(h, since, until) + ((begin - since) * 2 + found).astype(np.uint64))
+    shape = joined((begin - start).astype(np.uint64), count.astype(np.uint64))
+    return start, count, begin, context, *(mix(spans(x, start, start + count + window - 1) + shape) for x in (h, mix(part.word ^ _OTHER)))
+
+
+def _tidy(run):
+    """run over groups of a worker, which hands back memory after each."""
 
-    def span(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    def inner(left: pa.Table, right: pa.Table) -> pa.Table:
+        return next(iter(tidy(lambda both: [run(*both)])((left, right))))
 
-    context = mix(span(begin[chosen] - MARGIN, end[chosen] + MARGIN) + (end[chosen] - begin[chosen]).astype(np.uint64))
-    whole = mix(span(first, first + count + window - 1) + (begin[chosen] - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
-    return first, count, begin[chosen], context, whole
+    return inner
 
 
-def _narrow(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame:
+    """A round: every distinct symbol of the corpus gets one name, that of its first place; then windows with a symbol
+    of one place go, and symbols are parsed anew, unless this is the last round."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seg, own, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pair = np.frombuffer(own, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"seg": pa.array(np.full(len(pair), seg)), "code": pa.array(np.arange(len(pair), dtype=np.int32)), "c": pa.array(np.frombuffer(counts, np.int32)), "x": pa.array(pair[:, 0]), "y": pa.array(pair[:, 1])})
+
+    each = sequence.select("seg", "keys", "counts").mapInArrow(tidy(keys), "seg long, code int, c int, x long, y long")
+    each = each.withColumn("who", (F.monotonically_increasing_id() + 1) * 8 + turn % 8)  # a symbol has a row for each segment it is in
+    over = W.partitionBy("x", "y")
+    named = each.withColumns({"total": F.sum("c").over(over), "name": F.min("who").over(over)}).where("total > 1").select("seg", "code", "name")
+
+    def settle(body: pa.Table, named: pa.Table) -> pa.Table:
+        rows = []
+        if len(body):  # a segment may have no names to wait for
+            part: Part = pickle.loads(body.column("body")[0].as_buffer())
+            names = np.zeros(len(body.column("counts")[0].as_buffer()) // 4, np.uint64)
+            names[named.column("code").to_numpy()] = named.column("name").to_numpy().view(np.uint64)
+            if turn == 0:
+                part.word = names[part.word]
+            part.settle(names, window)
+            if len(part.word):
+                keys, often = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+                if not last:
+                    keys, often = _await(part, *part.parse(mix(part.name), mix(part.name ^ _OTHER)), keys, often)
+                rows.append(part.row(body.column("seg")[0].as_py(), keys, often))
+        return pa.Table.from_pylist(rows, _SCHEMA)
+
+    return sequence.groupBy("seg").cogroup(named.groupBy("seg")).applyInArrow(_tidy(settle), SEQUENCE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -115,65 +310,80 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     judged on the input. Words are runs of other characters than space and \\t to \\r.
 
     Copies of a text lose all words if it has a window; one of them stands for all
-    beside other texts. Names and sequences are compared by hashes, those of a window
-    by 128 bits (its own and its symbol's). Null texts have no words and stay null in
-    text; kept is empty for them. Rows that repeat in every column repeat in the result.
+    beside other texts. Texts and words are known by 128 bits, symbols by names that Spark
+    gives, windows by 128 bits of their words' names. Null texts have no words and stay
+    null in text; kept is empty for them. Rows that repeat in every column repeat in the
+    result. A segment holds whole texts, so a text takes memory in proportion.
     """
-    if window < 2 * MARGIN + 2 * 2 * 2**ROUNDS - 1:
-        raise ValueError("a window must be long enough to hold a symbol and its margins")
+    if window < 1:
+        raise ValueError("a window has one word at least")
     spark, store = docs.sparkSession, Store(docs.sparkSession, "substrings")
-    masks_of = [f"mask{b}" for b in range(-(-(window - 2 * MARGIN) // 32))]  # a group's windows, 32 to a mask
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(key, text).alias("row"), (F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)).alias("all"))
-    copies = store.keep(source.where(F.col("t").isNotNull()).groupBy("a", "b").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", "first"), "copies")
-    flagged = source.join(_narrow(copies, copies.count()), ["a", "b"], "left")
+    masks_of = [f"mask{b}" for b in range(-(-window // 32))]  # a group's windows, 32 to a mask
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), (F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)).alias("all"))
+    row = F.struct(F.xxhash64("k", "t"), F.xxhash64(F.lit(1), "k", "t"))
+    copies = store.keep(source.where(F.col("t").isNotNull()).withColumn("row", row).groupBy("a", "b").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", "first"), "copies")
+    flagged = source.join(narrow(copies), ["a", "b"], "left")
 
-    # 1. recompression: the groups of windows of each distinct text
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t", SEGMENT_BYTES):
+                if made := opened(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), window):
+                    yield pa.RecordBatch.from_pylist([made[0].row(uuid.uuid4().int >> 66, *made[1:])], _SCHEMA)
+
+    # 1. recompression, a round at a time
+    plain = flagged.where(F.col("t").isNotNull())
+    distinct = plain.where("first IS NULL").select("a", "b", "t").unionByName(plain.where(F.col("first") == row).select("a", "b", "t").dropDuplicates(["a", "b"]))
+    sequence = store.keep(distinct.mapInArrow(tidy(read), SEQUENCE), "round0")
+    rounds = rounds_of(window)
+    for turn in range(rounds):
+        sequence = store.keep(_named(sequence, turn, turn == rounds - 1, window), f"round{turn + 1}")
+        store.drop(f"round{turn}")
+
+    # 2. reveal: groups of windows by symbol and context
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "t"):
-                w = words(part.column(1), white_words())
-                first, count, symbol, context, whole = groups(w.hash, w.at, window)
-                owner = np.searchsorted(w.at, first, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(signed(context)), pa.array(signed(whole)), part.column(0).take(pa.array(owner)), pa.array((first - w.at[owner]).astype(np.int32)), pa.array(count.astype(np.int16)), pa.array((symbol - first).astype(np.int16))], ["context", "whole", "row", "first", "count", "offset"])
+            for seg, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = pickle.loads(body.as_buffer())
+                first, count, symbol, context, one, two = groups(part, window)
+                span = np.searchsorted(part.at, first, "right") - 1
+                text = part.text[span]
+                columns = {"context": signed(context), "one": signed(one), "two": signed(two), "a": part.one[text], "b": part.two[text], "first": (first - part.at[span] + part.first[span]).astype(np.int32), "count": count.astype(np.int32), "offset": (symbol - first).astype(np.int32), "seg": np.full(len(first), seg), "place": first.astype(np.int32)}
+                yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
 
-    distinct = flagged.where(F.col("t").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select("row", "t")
-    found = store.keep(distinct.mapInArrow(tidy(reveal), "context long, whole long, row long, first int, count short, offset short"), "found")
+    kinds_of = ["context", "one", "two"]
+    found = store.keep(sequence.select("seg", "body").mapInArrow(tidy(reveal), "context long, one long, two long, a long, b long, first int, count int, offset int, seg long, place int"), "found")
     # grouped keys are written before they are joined: only then can Spark split the rows of a common one
     twice = store.keep(found.groupBy("context").agg(F.count("*").alias("c")).where("c > 1").select("context"), "twice")
     shared = store.keep(found.join(twice, "context", "left_semi"), "shared")
     store.drop("found")
 
-    # 2. verify: a group that is alone in its context repeats as a whole; where there are several, their windows are compared
-    kinds = store.keep(shared.groupBy("context", "whole").agg(F.count("*").alias("c"), F.min(F.struct("row", "first", "count", "offset")).alias("at")), "kinds")
+    # 3. verify: a group that is alone in its context repeats as a whole; where there are several, their windows are compared
+    kinds = store.keep(shared.groupBy(*kinds_of).agg(F.count("*").alias("c"), F.min(F.struct("seg", "place", "count", "offset")).alias("at")), "kinds")
     several = store.keep(kinds.groupBy("context").agg(F.count("*").alias("kinds")).where("kinds > 1").select("context"), "several")
-    open_ = kinds.join(several, "context", "left_semi").select("context", "whole", "c", "at.*")
-    asked = store.keep(open_.groupBy("row").agg(F.collect_list(F.struct("first", "count", "offset", "context", "whole", "c")).alias("groups")), "asked")  # a text's own groups
+    asked = kinds.join(several, "context", "left_semi").select(*kinds_of, "c", "at.*")
+    names = ["context", "offset", "x", "y", "one", "two", "nth", "c"]
+    kind = "context long, offset int, x long, y long, one long, two long, nth int, c long"
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "t", 1 << 20):
-                w = words(part.column(0), white_words())
-                lists = part.column(1)
-                at = np.asarray(lists.offsets)
-                first, count, offset, context, whole, c = (np.asarray(lists.values.field(i))[at[0] : at[-1]] for i in range(6))
-                base = np.repeat(w.at[:-1], np.diff(at))
-                place = ranges(base + first, count.astype(np.int64))
-                nth = ranges(np.zeros(len(first), np.int64), count.astype(np.int64))
-                hashed = windows(w.hash, window)[place] if len(place) else np.zeros(0, np.uint64)
-                again = np.repeat(np.arange(len(first)), count)
-                yield pa.RecordBatch.from_arrays([pa.array(context[again]), pa.array((offset[again] - nth).astype(np.int16)), pa.array(signed(hashed)), pa.array(whole[again]), pa.array(nth.astype(np.int16)), pa.array(c[again])], ["context", "offset", "hash", "whole", "nth", "c"])
-
-    n = asked.count()
-    chosen = distinct.join(_narrow(asked.select("row"), n), "row", "left_semi") if n <= BROADCAST_ROWS else distinct
-    spelt = store.keep(chosen.dropDuplicates(["row"]).join(asked, "row").select("t", "groups").mapInArrow(tidy(spell), "context long, offset short, hash long, whole long, nth short, c long"), "spelt")
-    repeated = store.keep(spelt.groupBy("context", "offset", "hash").agg(F.sum("c").alias("c")).where("c > 1").select("context", "offset", "hash"), "repeated")
-    masks = spelt.join(repeated, ["context", "offset", "hash"], "left_semi").groupBy("context", "whole").agg(*(F.bit_or(F.expr(f"if(nth div 32 = {b}, shiftleft(1, nth % 32), 0)")).alias(m) for b, m in enumerate(masks_of)))
-    alone = kinds.where("c > 1").select("context", "whole", *(F.lit(-1).alias(m) for m in masks_of))
-    masks = store.keep(alone.unionByName(masks.join(alone, ["context", "whole"], "left_anti")), "masks")
-    hits = store.keep(shared.join(masks, ["context", "whole"]).groupBy("row").agg(F.collect_list(F.struct("first", "count", *masks_of)).alias("hits")), "hits")
-    store.drop("twice", "several", "repeated", "shared", "kinds", "asked", "spelt", "masks")
-
-    # 3. remove: words that a repeated window covers
+    def spell(body: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(body) or not len(asked):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int64()), strict=True)})
+        word = pickle.loads(body.column("body")[0].as_buffer()).word
+        place, count, offset, context, one, two, c = (asked.column(x).to_numpy().astype(np.int64) for x in ("place", "count", "offset", "context", "one", "two", "c"))
+        again, nth = np.repeat(np.arange(len(place)), count), ranges(np.zeros(len(place), np.int64), count)
+        at = ranges(place, count)
+        x, y = (signed(windows(mix(h), window)[at]) for h in (word, word ^ _OTHER))
+        return pa.table(dict(zip(names, map(pa.array, (context[again], (offset[again] - nth).astype(np.int32), x, y, one[again], two[again], nth.astype(np.int32), c[again])), strict=True)))
+
+    spelt = store.keep(sequence.select("seg", "body").groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(_tidy(spell), kind), "spelt")
+    same = ["context", "offset", "x", "y"]
+    repeated = store.keep(spelt.groupBy(*same).agg(F.sum("c").alias("c")).where("c > 1").select(*same), "repeated")
+    masks = spelt.join(repeated, same, "left_semi").groupBy(*kinds_of).agg(*(F.bit_or(F.expr(f"if(nth div 32 = {b}, shiftleft(1, nth % 32), 0)")).alias(m) for b, m in enumerate(masks_of)))
+    alone = kinds.where("c > 1").select(*kinds_of, *(F.lit(-1).alias(m) for m in masks_of))
+    masks = store.keep(alone.unionByName(masks.join(alone, kinds_of, "left_anti")), "masks")
+    hits = store.keep(shared.join(masks, kinds_of).groupBy("a", "b").agg(F.collect_list(F.struct("first", "count", *masks_of)).alias("hits")), "hits")  # a text's own groups
+    store.drop("twice", "several", "repeated", "shared", "kinds", "spelt", "masks", f"round{rounds}")
+
+    # 4. remove: words that a repeated window covers
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t", 1 << 20):
@@ -209,16 +419,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(removed.astype(np.int64)), kept, part.column(4)], ["k", "t", "n_words", "n_removed", "kept", "all"])
 
     kind = source.schema["k"].dataType.simpleString()
-    told = flagged.select("k", "t", "row", "all", F.col("first").isNotNull().alias("copied"))
+    told = flagged.select("k", "t", "a", "b", "all", F.col("first").isNotNull().alias("copied"))
     n = hits.count()
-    marked = hits.select("row")
+    marked = hits.select("a", "b")
     none = F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")
     if n <= BROADCAST_ROWS:  # texts without hits needn't move
-        plain = told.join(F.broadcast(marked), "row", "left_anti").select("k", "t", "copied", none, "all")
-        rest = told.join(F.broadcast(marked), "row", "left_semi").join(hits, "row").select("k", "t", "copied", "hits", "all")
+        plain = told.join(F.broadcast(marked), ["a", "b"], "left_anti").select("k", "t", "copied", none, "all")
+        rest = told.join(F.broadcast(marked), ["a", "b"], "left_semi").join(hits, ["a", "b"]).select("k", "t", "copied", "hits", "all")
         every = plain.unionByName(rest)
     else:
-        every = told.join(hits, "row", "left").select("k", "t", "copied", "hits", "all")
+        every = told.join(hits, ["a", "b"], "left").select("k", "t", "copied", "hits", "all")
     out = every.mapInArrow(tidy(remove), f"k {kind}, t string, n_words long, n_removed long, kept string, all {source.schema['all'].dataType.simpleString()}")
     return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "n_removed", "kept", *([F.col("all").alias("row")] if carry else []))
 
