@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Columns beyond those that a stage changes are carried, whatever their names; empty
+tables give empty tables; rows that repeat are rows of their own, except among
+near-duplicates.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covspark.llm import bpe, decontam, langid, neardup, substrings
-from covspark.llm.store import Store, prepare, table, without
+from covspark.llm.store import Store, narrow, prepare, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go; lang becomes the language found, and stays where none could be learned."""
+    """Texts without a letter go, null and empty ones too; lang becomes the language found, and stays where none could be learned."""
     prepare(spark)
     found = langid.identify(docs, carry=True).where("lettered")
     lang = F.when(F.col("lang_pred") == "und", F.col("row.lang")).otherwise(F.col("lang_pred"))
@@ -23,20 +28,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
+    """One row of each group of near-duplicates stays, that of the smallest doc_id.
+
+    Each text is judged by itself: unlike texts under one doc_id both stay, and so do
+    rows without a doc_id, which come after those with one, unless their text has a
+    near-duplicate. Of rows alike in doc_id and text any one stays; texts without words stay.
+    """
     prepare(spark)
     store = Store(spark, "stage")
-    found = store.keep(neardup.near_duplicates(docs), "found")
-    kept = without(docs, found.where(~F.col("kept")), store)
-    again = store.keep(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # rows that repeat a doc_id
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    one, two = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")  # a row by 128 bits
+    keyed = docs.withColumn("row__", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), one.alias("one"), two.alias("two")))
+    found = store.keep(neardup.near_duplicates(keyed, key="row__").select("row__.one", "row__.two", "kept"), "found")
+    gone = store.keep(found.where(~F.col("kept")).select("one", "two").distinct(), "gone")
+    again = store.keep(found.where("kept").groupBy("one", "two").count().where("count > 1").select("one", "two"), "again")
+    rows = docs.withColumns({"one__": one, "two__": two})
+    same = lambda ids: (F.col("one__") == ids["one"]) & (F.col("two__") == ids["two"])
+    kept = rows.join(narrow(gone), same(gone), "left_anti")
+    if again.limit(1).count():
+        first = kept.join(narrow(again), same(again), "left_semi").dropDuplicates(["one__", "two__"])
+        kept = kept.join(narrow(again), same(again), "left_anti").unionByName(first)
+    return kept.drop("one__", "two__")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go from texts, whose other words one space then parts; every row stays."""
+    """Words of repeated passages go from texts, whose other words one space then parts; every row stays, null texts as they are."""
     prepare(spark)
     found = substrings.remove_repeats(docs, carry=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -45,10 +60,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    keyed = docs.withColumn("row__", F.xxhash64("doc_id", "text"))  # a row without a doc_id can go too
-    found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="row__")
-    return without(keyed, found.where(F.col("n_hit") > 0), Store(spark, "stage"), "row__").drop("row__")
+    """Rows whose text holds a window of a benchmark item go, those without a doc_id too; null texts stay."""
+    keyed = docs.withColumn("row__", F.struct(F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")))
+    store = Store(spark, "stage")
+    found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="row__", store=store)
+    gone = store.keep(found.where(F.col("n_hit") > 0).select("row__.one", "row__.two").distinct(), "gone")
+    return keyed.join(narrow(gone), (F.col("row__.one") == gone["one"]) & (F.col("row__.two") == gone["two"]), "left_anti").drop("row__")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +89,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, store = table(spark, sf_dir, "documents"), Store(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = store.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            store.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,15 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scan import mix, pieces, signed, starts, tidy, utf8, white_words, windows, words
-from .store import Store, table
+from .store import BROADCAST_ROWS, Store, narrow, table
 
 WORDS, PERCENT = 5, 75
 SIDE, EACH = 10, 2  # half keys on each of two sides, and minhashes in one: SIDE**2 table keys from 2 * SIDE * EACH minhashes
 STAR_ROUNDS = 3
 PARTNERS = 2  # pivots that a text is first compared with; the others follow where still open
 CELLS = 64  # classes of shingles by which intersections are bounded
-SALT = 256  # texts compared with one copy of a pivot's set
-BROADCAST_ROWS = 1 << 20  # narrow rows (three numbers) that may be broadcast; beyond it, joins are shuffled
+SALT = 48  # texts compared with one copy of a pivot's set, about: small lots spread evenly
 
 
 def shingles(column: pa.Array, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +59,18 @@ def sketch(values: np.ndarray, at: np.ndarray, side: int, each: int) -> tuple[np
     return sums, other, halves
 
 
-def _narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a hint to broadcast it if its rows are few enough."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
-
-
 class _Linker:
     SIFTS = 4
 
-    def __init__(self, docs: DataFrame, store: Store, percent: int):
-        self.docs, self.store, self.percent, self.turn = docs, store, percent, 0
+    def __init__(self, texts: DataFrame, store: Store, percent: int):
+        self.texts, self.store, self.percent, self.turn = texts, store, percent, 0
 
     def fits(self, a: str, b: str) -> F.Column:
         """Whether sets of these sizes can reach the similarity at all."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def load(self, ids: DataFrame) -> None:
-        """Write the full sets of the texts that have a candidate."""
+        """Write the full sets of the classes in ids (id, and a, b: 128 bits of a text that has it)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -85,8 +79,8 @@ class _Linker:
                     raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
                     yield pa.RecordBatch.from_arrays([part.column(0), raw], ["id", "set"])
 
-        own = self.docs.join(_narrow(ids), F.col("k") == F.col("id"), "left_semi").mapInArrow(tidy(run), "id long, set binary")
-        self.sets = self.store.keep(own.groupBy("id").agg(F.min("set").alias("set")) if self.repeated else own, "sets")
+        one = self.texts.join(narrow(ids), ["k", "a", "b"]).select("id", "t").dropDuplicates(["id"])  # rows that repeat
+        self.sets = self.store.keep(one.mapInArrow(tidy(run), "id long, set binary"), "sets")
 
     def hopeful(self, held: DataFrame) -> DataFrame:
         """held with v, the shingles that another text of held has too: no intersection is larger.
@@ -116,7 +110,7 @@ class _Linker:
         for turn in range(self.SIFTS):
             ids = self.store.keep(held.select("id").distinct(), f"sift{turn}")
             before = ids.count()
-            own = self.sets.join(_narrow(ids, before), "id", "left_semi").select("id", "set")
+            own = self.sets.join(narrow(ids, before), "id", "left_semi").select("id", "set")
             each = own.mapInArrow(tidy(run), "id long, shingle long")
             lone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
             lone = self.store.keep(lone.groupBy("id").agg(F.collect_list("shingle").alias("lone")), f"lone{turn}")
@@ -126,7 +120,7 @@ class _Linker:
             left = held.select("id").distinct()
             if turn == self.SIFTS - 1 or left.count() > 0.9 * before:
                 break
-        found = own.join(_narrow(left), "id", "left_semi").join(lone, "id", "left").select("id", "set", F.coalesce("lone", F.array().cast("array<long>")).alias("lone"))
+        found = own.join(narrow(left), "id", "left_semi").join(lone, "id", "left").select("id", "set", F.coalesce("lone", F.array().cast("array<long>")).alias("lone"))
         return held.join(found.mapInArrow(tidy(cells), "id long, cells array<int>"), "id")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -135,7 +129,7 @@ class _Linker:
         pairs = self.store.keep(pairs, f"pairs{self.turn}")
         n = pairs.count()
         weight = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-        dealt = pairs.join(_narrow(weight, n), "pivot").select("pivot", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "id")
+        dealt = pairs.join(narrow(weight, n), "pivot").select("pivot", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "id")
         partner = dealt.join(self.sets, "id") if n > BROADCAST_ROWS else F.broadcast(dealt).join(self.sets, "id")
         heads = dealt.select("pivot", "salt").distinct()
         head = (F.broadcast(heads) if n <= BROADCAST_ROWS else heads).join(self.sets, F.col("pivot") == F.col("id"))
@@ -183,25 +177,28 @@ def components(links: DataFrame, store: Store, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, each: int = EACH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, kept for every row.
+    """key, n_shingles, component_id, kept for every row. Keys may be of any type that has an order.
 
-    Texts of one shingle set are one class, named by its smallest key. A class gets
-    2 * side half keys of each minhashes; halves that no other class has are dropped,
-    and each pair of the rest, one from either side, is a table key. At the threshold
-    a link is missed with a chance of 2 * (1 - s**each)**side, 0.0005 as set here.
+    Texts of one shingle set are one class. A class gets 2 * side half keys of each
+    minhashes; halves that no other class has are dropped, and each pair of the rest,
+    one from either side, is a table key. At the threshold a link is missed with a
+    chance of 2 * (1 - s**each)**side, 0.0005 as set here.
 
     Classes that share a table key are candidates. Not all pairs are made: texts
     are compared with pivots first, and components grow from confirmed links; where a
     key still holds more than one component, new pivots follow, and at last every pair
     across components that sizes allow and that has enough shingles which any other
-    open text shares (exact bounds: no link is lost). Links are confirmed on full sets.
+    open text shares (exact bounds: no link is lost). Links are confirmed on full sets
+    of shingles, each known by 64 bits; a class by 128 bits of its set.
 
-    Texts without words have empty sets, are linked with nothing and kept. A null
-    key is linked with nothing: its component is null and it is kept. Rows that
-    repeat a key are one document. An empty table gives no rows.
+    Rows that repeat a key are one document, which has the links of all its texts.
+    Texts without words have empty sets, are linked with nothing and kept, if no text
+    of their key is linked. A null key is linked with nothing: its component is null
+    and it is kept. An empty table gives no rows; other columns play no part.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "neardup")
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,11 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
                 sizes = np.zeros(len(n) + 1, np.int32)
                 sizes[full + 1] = 2 * side
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(signed(halves.ravel())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), lists], ["k", "n", "f", "g", "halves"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), lists], ["k", "a", "b", "n", "f", "g", "halves"])
 
-    rows = store.keep(source.mapInArrow(tidy(run), "k long, n long, f long, g long, halves array<long>"), "rows")
+    rows = store.keep(source.mapInArrow(tidy(run), f"k {kind}, a long, b long, n long, f long, g long, halves array<long>"), "rows")
     whole = rows.where((F.col("n") > 0) & F.col("k").isNotNull())
-    classes = store.keep(whole.groupBy("f", "g", "n").agg(F.min("k").alias("id"), F.any_value("halves").alias("halves")), "classes")
+    classes = whole.groupBy("f", "g", "n").agg(F.min(F.struct("k", "a", "b")).alias("at"), F.any_value("halves").alias("halves"))
+    classes = store.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     half = store.keep(classes.select("id", "n", F.posexplode("halves").alias("pos", "half")), "half")
     shared = half.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("half")
     live = half.join(shared, "half", "left_semi").groupBy("id", "n").agg(F.collect_list(F.when(F.col("pos") < side, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("pos") >= side, F.col("half"))).alias("right"))
@@ -231,8 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
     store.drop("keyed")
 
     linker = _Linker(source, store, percent)
-    linker.repeated = bool(rows.where(F.col("k").isNotNull()).groupBy("k").count().where("count > 1").limit(1).count())
-    linker.load(members.select("id").distinct())
+    linker.load(store.keep(classes.join(narrow(members.select("id").distinct()), "id", "left_semi").select("id", "at.*"), "asked"))
     votes = members.where((F.col("id") != F.col("pivot")) & linker.fits("n", "m")).groupBy("id", "pivot").agg(F.count("*").alias("votes"))
     nth = F.row_number().over(W.partitionBy("id").orderBy(F.desc("votes"), "pivot"))  # at most side**2 rows an id
     seen = linker.verify(votes.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("id", "pivot"))
@@ -240,7 +237,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
         labels = components(seen.where("linked"), store, f"label{turn}")
         own = store.keep(members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), f"own{turn}")
         spot = F.struct("label", "id", "n")
-        mixed = own.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a.label < b.label")
+        mixed = store.keep(own.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a.label < b.label"), f"mixed{turn}")
+        if not mixed.limit(1).count():
+            break
         if turn < STAR_ROUNDS:
             pivots = own.join(mixed, "key").select("id", "n", "label", F.explode(F.array("a", "b")).alias("p"))
             pivots = pivots.where((F.col("label") != F.col("p.label")) & linker.fits("n", "p.n")).groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("votes"))
@@ -256,10 +255,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
         if fresh.limit(1).count():
             seen = store.keep(seen.unionByName(linker.verify(fresh)), f"seen{turn}")
         store.drop(f"own{turn}")
-    labels = components(seen.where("linked"), store, "label")
-    named = classes.select("f", "g", "n", "id").join(labels, "id", "left").select("f", "g", "n", F.coalesce("label", "id").alias("component"))
+    links = seen.where("linked").select("id", "pivot")
+    own = F.struct("f", "g", "n")
+    several = store.keep(whole.groupBy("k").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("k"), "several")
+    if several.limit(1).count():  # texts of one key are linked by it
+        texts = whole.join(several, "k", "left_semi").join(classes.select("f", "g", "n", "id"), ["f", "g", "n"]).select("k", "id").distinct()
+        links = links.unionByName(texts.join(texts.groupBy("k").agg(F.min("id").alias("pivot")), "k").where("id != pivot").select("id", "pivot"))
+    labels = store.keep(components(links, store, "label"), "labels")
+    named = classes.join(labels, "id", "left").select("f", "g", "n", F.coalesce("label", "id").alias("label"), F.col("at.k").alias("least"))
+    least = named.groupBy("label").agg(F.min("least").alias("component"))
+    named = store.keep(named.join(least, "label").select("f", "g", "n", "component"), "named")
     out = rows.select("k", "n", "f", "g").join(named, ["f", "g", "n"], "left")
-    component = F.when(F.col("k").isNull(), F.lit(None)).otherwise(F.coalesce("component", "k"))
+    if several.limit(1).count():  # a text without words has the component of its key's other texts
+        other = whole.join(several, "k", "left_semi").join(named, ["f", "g", "n"]).groupBy("k").agg(F.min("component").alias("its"))
+        out = out.join(other, "k", "left").withColumn("component", F.coalesce("component", "its"))
+    component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
     store.drop("sets", "members")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("k").isNull() | (F.col("k") == component)).alias("kept"))
 

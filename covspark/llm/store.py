@@ -24,9 +24,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one, which a cluster can't share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="covspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,13 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Ids that may be broadcast, after they were counted; beyond it a join is shuffled.
-BROADCAST_IDS = 1 << 20
+#: Narrow rows that may be broadcast, after they were counted; beyond it a join is shuffled.
+BROADCAST_ROWS = 1 << 20
 
 
-def without(docs: DataFrame, ids: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
-    """docs but those whose key is in ids; a null key stays."""
-    gone = store.keep(ids.select(F.col(key).alias("gone__")).where(F.col("gone__").isNotNull()).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key) == F.col("gone__"), "left_anti")
+def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a stored table of a few numbers a row, with a hint to broadcast it if its rows are few enough."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

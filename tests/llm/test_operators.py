@@ -115,9 +115,45 @@ def test_decontamination_in_blocks_and_by_proximity(spark, docs, monkeypatch):
     once = {i: (r.n_hit, r["items"]) for i, r in rows(decontam.decontaminate(docs, bench)).items()}
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
     assert once == {i: (r.n_hit, r["items"]) for i, r in rows(decontam.decontaminate(docs, bench)).items()}
-    near = spark.createDataFrame([(0, "alpha beta gamma")], "item_id long, text string")
-    texts = spark.createDataFrame([(0, "alpha beta x gamma"), (1, "alpha x x x gamma beta")], "doc_id long, text string")
-    assert [rows(decontam.decontaminate(texts, near, slack=s))[0].n_hit > 0 for s in (0, 1)] == [False, True]
+
+
+def brute_near(text, item, slack, window=10):
+    """Whether some window of an item has each word at most slack places off in the text."""
+    w, x = PLAIN.findall(lower(text)), PLAIN.findall(lower(item))
+    for k in range(max(1, len(x) - window + 1)) if x else []:
+        own = x[k : k + window]
+        if any(all(y in w[max(0, p + j - slack) : max(0, p + j + slack + 1)] for j, y in enumerate(own)) for p in range(-slack, len(w) + slack)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("slack", [0, 2])
+def test_decontamination_by_proximity(spark, slack):
+    """Texts stand next to each other in a segment; no match takes a word of its neighbour."""
+    rnd = random.Random(slack)
+    texts = ["x alpha beta y", "gamma delta", "alpha beta x gamma", "alpha x x x gamma beta", "beta alpha gamma", "gamma", "alpha beta", None, "alpha beta gamma"]
+    texts += [" ".join(rnd.choices("abcdef", k=rnd.randint(1, 14))) for _ in range(150)]
+    items = ["alpha beta gamma", "delta", "", None, "a b c d e f a b c d e f", "f e d c", "a a b b"] + [" ".join(rnd.choices("abcdef", k=rnd.randint(4, 13))) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = rows(decontam.decontaminate(docs, bench, slack=slack))
+    for i, t in enumerate(texts):
+        assert got[i].near == sorted(str(k) for k, x in enumerate(items) if brute_near(t, x, slack)), t
+        assert set(got[i]["items"]) <= set(got[i].near) and (got[i].n_hit > 0) == bool(got[i]["items"])
+
+
+def test_different_words_of_one_polynomial_hash(spark):
+    """Long words that cancel in a polynomial modulo 2**64 are different words to every operator."""
+    for n in (2048,):
+        x = thue_morse(n)
+        y = x.translate(OPPOSITE)
+        texts = [f"{w} one two" for w in (x, y)] + [" ".join([w, *map(str, range(40))][:35]) for w in (x, y)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        near = rows(neardup.near_duplicates(docs))
+        assert [near[i].component_id for i in range(4)] == [i for _, i in brute_groups(texts)] == [0, 1, 2, 2]
+        assert {r.n_removed for r in substrings.remove_repeats(docs).collect()} == {0}
+        bench = spark.createDataFrame([(0, x)], "item_id long, text string")
+        assert [rows(decontam.decontaminate(docs, bench))[i].n_hit for i in range(4)] == [1, 0, 1, 0]
 
 
 def test_token_counts(spark, docs, none):
@@ -167,12 +203,16 @@ def test_substrings(spark, docs, none):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(TEXTS))] == want
     assert sum(x[1] for x in want) > 500
     assert substrings.remove_repeats(none).count() == 0
+    for window in (10, 100):
+        got = rows(substrings.remove_repeats(docs, window=window))
+        assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(TEXTS))] == brute_repeats(TEXTS, window)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_substrings_of_few_words(spark, seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_substrings_of_few_words(spark, seed, monkeypatch):
     """Few distinct words: runs, periods and overlaps everywhere."""
     rnd = random.Random(seed)
+    monkeypatch.setattr(substrings, "SEGMENT_BYTES", 300 << 12 * seed)
     texts = [" ".join(rnd.choices("ab", weights=[1, 9], k=rnd.randint(30, 120))) for _ in range(30)]
     texts += [" ".join(["a"] * 34), " ".join(["a"] * 35), " ".join(["b"] * 36), " ".join(["a", "b"] * 40), " ".join(["a", "b", "c"] * 13)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -180,7 +220,7 @@ def test_substrings_of_few_words(spark, seed):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == brute_repeats(texts)
 
 
-@pytest.mark.parametrize("window", [31, 64, 100, 130])
+@pytest.mark.parametrize("window", [4, 31, 60, 130])
 def test_substrings_of_other_windows(spark, window):
     """Groups of more windows than an integer has bits, several kinds to a context."""
     rnd = random.Random(window)
@@ -382,10 +422,28 @@ def test_bpe(spark, docs, none):
 def test_bpe_forgets_within_its_bound():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    small = bpe.Encoder(ranks, public_tokenizers.PATTERN, cache=50)
+    small = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN, memo=3000)
     for t in TEXTS[20:50]:
         ids, at = small.encode([t, None])
         assert ids.tolist() == enc.encode_ordinary(t) and at.tolist() == [0, len(ids), len(ids)]
+        assert small.held <= 3000
+
+
+def test_bpe_of_long_texts(monkeypatch):
+    """A text is split a part at a time without a change to its ids."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN)
+    whole = " ".join(t or "" for t in TEXTS) * 40
+    assert len(whole) > bpe.LONG
+    texts = ["", whole, "short", None, whole[:70]]
+    for step in (bpe.STEP, 7):
+        monkeypatch.setattr(bpe, "STEP", step)
+        if step == 7:
+            monkeypatch.setattr(bpe, "LONG", 30)
+            texts[1] = whole[:5000]
+        ids, at = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [enc.encode_ordinary(t or "") for t in texts]
 
 
 def test_perfect_hash():
@@ -446,3 +504,35 @@ def test_pipeline_stages(spark, tmp_path):
         assert {r.doc_id: r.text for r in docs.collect()} == now, name
     got = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert {i: r.decoded_sha256 for i, r in got.items()} == {i: sha(t) for i, t in now.items()}
+
+
+def thue_morse(n):
+    return "".join("XY"[bin(i).count("1") & 1] for i in range(n))
+
+
+OPPOSITE = str.maketrans("XYxy", "YXyx")
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_cancel_in_a_polynomial_differ(n):
+    import pyarrow as pa
+
+    one = thue_morse(n)
+    for inside in (scan.white_words(), scan.plain_words()):
+        w = scan.words(pa.array([one, one.translate(OPPOSITE), one.lower()]), inside, fold=True, versions=2)
+        for h in (w.hash, w.check):
+            assert h[0] != h[1] and h[0] == h[2]
+        assert (w.hash != w.check).all()
+    letters = scan.words(pa.array([" ".join(one), " ".join(one.translate(OPPOSITE))]), scan.white_words())
+    assert len(set(scan.windows(letters.hash[:n], n)) | set(scan.windows(letters.hash[n:], n))) == 2
+
+
+def test_windows_are_hashed_by_their_values():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 3, 3000).astype(np.uint64)
+    for length in (1, 2, 3, 5, 10, 35, 64, 100):
+        got = scan.windows(values, length)
+        want = {}
+        for i, h in enumerate(got):
+            assert want.setdefault(tuple(values[i : i + length]), h) == h
+        assert len(got) == 3001 - length and len(set(want.values())) == len(want)
