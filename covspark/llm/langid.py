@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import pieces, tidy
+from .scan import pieces, ranges, tidy
 from .store import table
 
-SAMPLE_DOCS = 96  # texts a language is learned from, at most: those whose doc_id hashes lowest
-SAMPLE_LETTERS = 1 << 15  # letters and gaps of them, at most
+SAMPLE_PIECES = 32  # pieces of labelled texts that a language is learned from, at most, all of them read
+PIECE = 1 << 10  # characters of a piece: a text is cut into such, from its first to its last
+ALL_PIECES = 1 << 10  # of all languages together, or one of each if there are more
 DENSE = 62  # the commonest letters of a language have columns in its table; its others are looked up by keys
-SEGMENT = 128  # the parse starts anew after so many letters, in every language alike
-GAP, UNKNOWN = 0, 1
+SEGMENT = 256  # letters that are parsed at a time, beside other segments; their parses are then made one
+TOGETHER = 4  # rounds in which all segments that are entered elsewhere are parsed anew side by side
+GAP, UNKNOWN, BREAK = 0, 1, 2  # BREAK parts pieces, and no text has it
 
 
 @cache
@@ -149,63 +151,130 @@ def fit(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[Auto
     for lang in langs:
         points, _ = _points(samples[lang])
         letters.update(np.unique(points[plain[points]]).tolist())
-    kinds = 2 + len(letters)
+    kinds = 3 + len(letters)
     codes = np.where(plain, UNKNOWN, GAP).astype(np.min_scalar_type(kinds))
-    codes[sorted(letters)] = np.arange(2, kinds, dtype=codes.dtype)
+    codes[sorted(letters)] = np.arange(3, kinds, dtype=codes.dtype)
     tables, sizes = [], []
     for lang in langs:
-        s, _ = symbols(samples[lang], codes)
-        s = s[:SAMPLE_LETTERS].tolist()
+        s, at = symbols(samples[lang], codes)
+        s = np.insert(s, at[1:-1], BREAK).tolist()
         tables.append(automaton(s, kinds))
         sizes.append(max(2, len(s)))
     return langs, codes, tables, sizes
 
 
+def _parse(s: np.ndarray, table: Automaton, begin: np.ndarray, stop: np.ndarray, limit: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy parses that begin at the symbols begin, all at once: the places where phrases start, and
+    for each parse the first such place at or after stop (limit, where the text ends first). With
+    met, a parse ends as well where it comes to a place that is marked there."""
+    exits, found = limit.copy(), []
+    own = np.flatnonzero(begin < limit)
+    p, state = begin[own], np.zeros(len(own), np.int32)
+    while len(own):
+        v = table.step(state, s[p])
+        start = (state == 0) | ((v & 3) > 0)
+        over = start & (p >= stop[own])
+        if met is not None:
+            over |= start & met[p]
+        if over.any():
+            exits[own[over]] = p[over]
+            left = ~over
+            own, p, v, start = own[left], p[left], v[left], start[left]
+        found.append(p[start])
+        p, state = p + 1, v >> 2
+        more = p < limit[own]
+        if not more.all():
+            own, p, state = own[more], p[more], state[more]
+    return np.concatenate([np.zeros(0, np.int64), *found]), exits
+
+
+def _clear(marks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+    marks[ranges(begin, end - begin)] = False
+
+
 def phrases(s: np.ndarray, at: np.ndarray, tables: list[Automaton]) -> np.ndarray:
-    """Phrases of each text in each language: all segments take a step at a time together."""
+    """Phrases of each text in each language, by one greedy parse of the whole text.
+
+    Segments are parsed side by side as if each began a phrase. What follows from a
+    phrase's start doesn't depend on what came before, so where the parse that enters
+    a segment from the one before meets a start found there, the rest stands; up to
+    there the segment is parsed anew, until no segment is entered elsewhere than it was.
+    """
     n = np.diff(at)
     parts = -(-n // SEGMENT)
     owner = np.repeat(np.arange(len(n)), parts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    size = np.minimum(SEGMENT, n[owner] - nth * SEGMENT)
-    order = np.argsort(-size, kind="stable")
-    begin, size = (at[:-1][owner] + nth * SEGMENT)[order], size[order]
+    begin, limit = at[:-1][owner] + nth * SEGMENT, at[1:][owner]
+    stop = np.minimum(begin + SEGMENT, limit)
     out = np.zeros((len(n), len(tables)), np.int64)
-    if not len(size):
-        return out
-    steps = [(int(np.searchsorted(-size, -j, "left")), s) for j in range(int(size[0]))]
-    columns = [s[begin[:m] + j] for j, (m, _) in enumerate(steps)]
-    for k, follow in enumerate(tables):
-        state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
-        for column in columns:
-            m = len(column)
-            v = follow.step(state[:m], column)
-            count[:m] += v & 3
-            np.right_shift(v, 2, out=state[:m])
-        count += state != 0
-        out[:, k] = np.bincount(owner[order], count, len(n)).astype(np.int64)
+    for k, table in enumerate(tables):
+        started = np.zeros(len(s) + 1, bool)
+        found, exits = _parse(s, table, begin, stop, limit)
+        started[found] = True
+        entered, rounds = begin.copy(), 0
+        while True:
+            entry = np.where(nth > 0, np.concatenate([[0], exits[:-1]]) if len(exits) else exits, begin)
+            todo = np.flatnonzero(entry != entered)
+            if not len(todo):
+                break
+            rounds += 1
+            if rounds > TOGETHER:  # texts with a period may never meet: each is parsed on from its first open segment
+                todo = todo[np.unique(owner[todo], return_index=True)[1]]
+                found, met = _parse(s, table, entry[todo], limit[todo], limit[todo], started)
+                _clear(started, begin[todo], met)
+                started[found] = True
+                last = todo - nth[todo] + np.minimum((met - at[:-1][owner[todo]]) // SEGMENT, parts[owner[todo]] - 1)
+                passed = ranges(todo, last - todo + 1)
+                places = np.append(np.flatnonzero(started), len(s))
+                entered[passed] = np.minimum(places[np.searchsorted(places, begin[passed])], limit[passed])
+                passed = ranges(todo, last - todo + (met == limit[todo]))
+                exits[passed] = np.minimum(places[np.searchsorted(places, stop[passed])], limit[passed])
+                continue
+            entered[todo] = entry[todo]
+            found, met = _parse(s, table, entry[todo], stop[todo], limit[todo], started)
+            same = met < stop[todo]  # the rest stands, and with it where the segment is left
+            exits[todo[~same]] = met[~same]
+            _clear(started, begin[todo], np.minimum(met, stop[todo]))
+            started[found] = True
+        sums = np.concatenate([[0], np.cumsum(started)])
+        out[:, k] = sums[at[1:]] - sums[at[:-1]]
     return out
 
 
+def _samples(rows: DataFrame) -> dict[str, list[str]]:
+    """Pieces of the labelled texts of each language: those whose key and place hash lowest. Their number is bounded."""
+    good = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).select("l", "k", "t", F.xxhash64("t").alias("h"))
+    langs = good.select("l").distinct().count()
+    if not langs:
+        return {}
+    most = max(1, min(SAMPLE_PIECES, ALL_PIECES // langs))
+    places = good.selectExpr("l", "k", "h", f"explode(sequence(0, (length(t) - 1) div {PIECE})) AS i").distinct()
+    nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k", "h", "i"), "k", "h", "i"))
+    chosen = places.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").toPandas()
+    asked = rows.sparkSession.createDataFrame(chosen, places.schema).withColumnsRenamed({"l": "lang", "k": "key", "h": "hash"})
+    got = good.join(F.broadcast(asked), (F.col("l") == F.col("lang")) & (F.col("k") == F.col("key")) & (F.col("h") == F.col("hash")))  # at most ALL_PIECES rows, or the languages
+    got = got.selectExpr("l", "k", "h", "i", f"substring(t, int(i * {PIECE} + 1), {PIECE}) AS t").distinct().toPandas().sort_values(["l", "k", "h", "i"])
+    return {x: own["t"].tolist() for x, own in got.groupby("l")}
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: bool = False) -> DataFrame:
     """key, held_out, lang_pred, score for every row; with carry, a struct of all of docs' columns, row, and whether the text has a letter, lettered, too.
 
-    Learned from rows with a lang whose crc32(key as text) mod 5 is not 0: of each
-    lang at most SAMPLE_DOCS texts and SAMPLE_LETTERS symbols, chosen by the key's
-    hash, so the tables have a bound for each language. Predictions see the text only.
+    Learned from rows with a lang whose crc32(key as text) mod 5 is not 0: their texts
+    are cut into pieces of PIECE characters, of which SAMPLE_PIECES of each lang are
+    read, chosen by hash (fewer if langs are many: ALL_PIECES of all), so the tables
+    have a bound. Predictions see the text only.
     score is h2 / (h1 + h2) for the least and second-least bits a symbol, h: 0.5
     where they tie, 1 where there is one language. Ties go to the first in
     alphabetical order. A null text, or one without letters, is `und` with score 0,
     as all texts are when nothing can be learned. A null key is neither held out
-    nor learned from.
+    nor learned from. Rows that repeat have results of their own; no rows give none.
     """
     spark = docs.sparkSession
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(True)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), whole.alias("row"))
     part = F.crc32(F.col("k").cast("string")) % 5
-    nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k", "t"))
-    sample = rows.where((part != 0) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).select("l", "k", F.substring("t", 1, 2 * SAMPLE_LETTERS).alias("t")).withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).toPandas()
-    samples = {x: own.sort_values("nth")["t"].tolist() for x, own in sample.groupby("l")}
+    samples = _samples(rows.where(part != 0))
     shared = spark.sparkContext.broadcast(fit(samples)) if samples else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
