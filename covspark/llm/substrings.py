@@ -1,8 +1,8 @@
 """Substring dedup by recompression.
 
-Texts become sequences of names. In each round runs of a name, of any length, and
-then pairs of a left and a right name, twice, become symbols; Spark gives every
-distinct symbol of the whole corpus one name and drops those that occur once. Equal
+Words get names, and texts become sequences of names. In each round runs of a name,
+of any length, and then pairs of a left and a right name, twice, become symbols; Spark
+gives every distinct one of the whole corpus one name and drops those that occur once. Equal
 words far enough inside equal texts so become equal symbols everywhere, and a window
 that holds a symbol without a second place is out. In the end a symbol that stands
 inside a window, with the words around it that decide it, reveals a repeat; windows
@@ -163,16 +163,40 @@ class Part:
         self.word, self.gone = self.word[live], self.gone[live]
         self.begin, self.size, self.name, self.code = where[self.begin[inside]], self.size[inside], self.name[inside], np.full(int(inside.sum()), -1)
 
+    def pack(self) -> bytes:
+        """The part in few bytes: names as places in a list, positions as steps, all in the narrowest type, compressed."""
+        here = np.arange(len(self.word))
+        flat = [self.one, self.two]
+        for x in (self.word, self.name):
+            flat += np.unique(x, return_inverse=True)
+        flat += [np.packbits(self.gone)]
+        flat += [np.diff(x, prepend=0) for x in (self.text, self.at, self.begin)]
+        code = self.code[:0] if np.array_equal(self.code, self.word) else self.code + 1  # words that await names are said once
+        flat += [self.first, self.size, code, self.left - here, here + 1 - self.right]
+        raw = pickle.dumps([x if x.dtype == np.uint64 or x is self.one or x is self.two else x.astype(np.min_scalar_type(x.max(initial=0))) for x in flat], 5)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @staticmethod
+    def unpack(data: pa.Scalar) -> Part:
+        raw = data.as_buffer()
+        size = int.from_bytes(raw[:8].to_pybytes(), "little")
+        one, two, words_, word, names, name, gone, text, at, begin, first, size, code, left, right = pickle.loads(pa.decompress(raw[8:], size, "zstd"))
+        text, at, begin = (np.cumsum(x, dtype=np.int64) for x in (text, at, begin))
+        first, size, code, left, right = (x.astype(np.int64) for x in (first, size, code, left, right))
+        here = np.arange(len(word))
+        own = words_[word]
+        return Part(one, two, text, first, at, own, names[name], begin, size, here + left, here + 1 - right, np.unpackbits(gone, count=len(word)).astype(bool), code - 1 if len(code) or not len(begin) else own.astype(np.int64))
+
     def row(self, seg: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        return {"seg": seg, "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "body": pickle.dumps(self, 5)}
+        return {"seg": seg, "n": len(keys), "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "body": self.pack()}
 
 
-SEQUENCE = "seg long, keys binary, counts binary, body binary"
-_SCHEMA = pa.schema([("seg", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
+SEQUENCE = "seg long, n int, keys binary, counts binary, body binary"
+_SCHEMA = pa.schema([("seg", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
 
 
 def opened(one: np.ndarray, two: np.ndarray, column: pa.Array, window: int) -> tuple[Part, np.ndarray, np.ndarray] | None:
-    """The first round over texts that have a window, with keys for words and symbols; word and code hold codes yet."""
+    """Texts that have a window, with keys for their words, whose codes word and code hold yet."""
     w = words(column, white_words(), versions=2)
     counts = w.counts()
     text = np.flatnonzero(counts >= window)
@@ -183,17 +207,15 @@ def opened(one: np.ndarray, two: np.ndarray, column: pa.Array, window: int) -> t
     n = len(x)
     code, keys, often = codes_of(x, y)
     at = np.concatenate([[0], np.cumsum(counts[text])])
-    part = Part(one, two, text, np.zeros(len(text), np.int64), at, code, np.ones(n, np.uint64), np.arange(n), np.ones(n, np.int64), np.arange(n), np.arange(n) + 1, np.zeros(n, bool), code.copy())
-    a, b = part.parse(x, y)
-    return part, *_await(part, a, b, keys, often)
+    return Part(one, two, text, np.zeros(len(text), np.int64), at, code, np.ones(n, np.uint64), np.arange(n), np.ones(n, np.int64), np.arange(n), np.arange(n) + 1, np.zeros(n, bool), code.copy()), keys, often
 
 
-def _await(part: Part, x: np.ndarray, y: np.ndarray, keys: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes, after those of keys, for symbols that a round has made; all keys and how often they occur."""
-    made = np.flatnonzero((part.size > 1) & (part.code == 0))
-    code, new, count = codes_of(x[made], y[made])
-    part.code[made] = len(keys) + code
-    return np.concatenate([keys, new]), np.concatenate([often, count])
+def _next(part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Parse a round; the keys of the symbols that it made, by code, and how often they occur."""
+    x, y = part.parse(mix(part.name), mix(part.name ^ _OTHER))
+    made = np.flatnonzero(part.code == 0)
+    part.code[made], keys, often = codes_of(x[made], y[made])
+    return keys, often
 
 
 def _least(symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -268,8 +290,8 @@ def _tidy(run):
 
 
 def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame:
-    """A round: every distinct symbol of the corpus gets one name, that of its first place; then windows with a symbol
-    of one place go, and symbols are parsed anew, unless this is the last round."""
+    """A round: every distinct key of the corpus gets one name, that of its first place; then windows with a word or symbol
+    of one place go, and the next symbols are parsed, unless this is the last round."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,8 +307,8 @@ def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame
     def settle(body: pa.Table, named: pa.Table) -> pa.Table:
         rows = []
         if len(body):  # a segment may have no names to wait for
-            part: Part = pickle.loads(body.column("body")[0].as_buffer())
-            names = np.zeros(len(body.column("counts")[0].as_buffer()) // 4, np.uint64)
+            part = Part.unpack(body.column("body")[0])
+            names = np.zeros(body.column("n")[0].as_py(), np.uint64)
             names[named.column("code").to_numpy()] = named.column("name").to_numpy().view(np.uint64)
             if turn == 0:
                 part.word = names[part.word]
@@ -294,11 +316,11 @@ def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame
             if len(part.word):
                 keys, often = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
                 if not last:
-                    keys, often = _await(part, *part.parse(mix(part.name), mix(part.name ^ _OTHER)), keys, often)
+                    keys, often = _next(part)
                 rows.append(part.row(body.column("seg")[0].as_py(), keys, often))
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    return sequence.groupBy("seg").cogroup(named.groupBy("seg")).applyInArrow(_tidy(settle), SEQUENCE)
+    return sequence.select("seg", "n", "body").groupBy("seg").cogroup(named.groupBy("seg")).applyInArrow(_tidy(settle), SEQUENCE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -335,15 +357,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     distinct = plain.where("first IS NULL").select("a", "b", "t").unionByName(plain.where(F.col("first") == row).select("a", "b", "t").dropDuplicates(["a", "b"]))
     sequence = store.keep(distinct.mapInArrow(tidy(read), SEQUENCE), "round0")
     rounds = rounds_of(window)
-    for turn in range(rounds):
-        sequence = store.keep(_named(sequence, turn, turn == rounds - 1, window), f"round{turn + 1}")
+    for turn in range(rounds + 1):  # of words, then of symbols
+        sequence = store.keep(_named(sequence, turn, turn == rounds, window), f"round{turn + 1}")
         store.drop(f"round{turn}")
 
     # 2. reveal: groups of windows by symbol and context
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = pickle.loads(body.as_buffer())
+                part = Part.unpack(body)
                 first, count, symbol, context, one, two = groups(part, window)
                 span = np.searchsorted(part.at, first, "right") - 1
                 text = part.text[span]
@@ -367,7 +389,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     def spell(body: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(body) or not len(asked):
             return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int64()), strict=True)})
-        word = pickle.loads(body.column("body")[0].as_buffer()).word
+        word = Part.unpack(body.column("body")[0]).word
         place, count, offset, context, one, two, c = (asked.column(x).to_numpy().astype(np.int64) for x in ("place", "count", "offset", "context", "one", "two", "c"))
         again, nth = np.repeat(np.arange(len(place)), count), ranges(np.zeros(len(place), np.int64), count)
         at = ranges(place, count)
@@ -381,7 +403,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     alone = kinds.where("c > 1").select(*kinds_of, *(F.lit(-1).alias(m) for m in masks_of))
     masks = store.keep(alone.unionByName(masks.join(alone, kinds_of, "left_anti")), "masks")
     hits = store.keep(shared.join(masks, kinds_of).groupBy("a", "b").agg(F.collect_list(F.struct("first", "count", *masks_of)).alias("hits")), "hits")  # a text's own groups
-    store.drop("twice", "several", "repeated", "shared", "kinds", "spelt", "masks", f"round{rounds}")
+    store.drop("twice", "several", "repeated", "shared", "kinds", "spelt", "masks", f"round{rounds + 1}")
 
     # 4. remove: words that a repeated window covers
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
