@@ -77,7 +77,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0 if entries else 2
     if args.telemetry:
         users = telemetry.passwd(telemetry.read_files(spark, args.users)) if args.users else None
-        found = telemetry.ingest(telemetry.read_files(spark, args.telemetry), args.format, users)
+        read = telemetry.read_lines if args.format == "auditd" else telemetry.read_files  # JSON may be one value a file
+        found = telemetry.ingest(read(spark, args.telemetry), args.format, users)
         units = found.observations.select("src").unionByName(found.events.select("src"))
         findings = analyze.observed(found, kb)
     else:

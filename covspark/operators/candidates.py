@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed import CLASS_CATEGORY, MOST_RULES
+from ..shared import written
 from ..sources.ruleset import Index
 from .verdict import evidence, judge, label
 
@@ -32,12 +33,12 @@ def for_class(kind: Column, category: str = "category") -> Column:
 def candidates(rows: DataFrame, index: Index, key: list[str] = KEY) -> DataFrame:
     """rows' key with each rule (candidate, title, level, category) that shares a technique exactly, once.
 
-    A hash join on the technique; rules are the small side. Of rules with one id
+    A join on the technique, whose kind Spark picks by the size of the rules. Of rules with one id
     the first counts, in the order of the row's techniques.
     """
     wanted = rows.select(*key, F.posexplode("techniques").alias("pos", "t")).select(*key, "pos", F.col("t.id").alias("technique"))
     rules = index.by_technique.withColumnRenamed("rule_id", "candidate")
-    found = wanted.join(F.broadcast(rules), "technique")  # at most ruleset.MOST_RULES rules
+    found = wanted.join(rules, "technique")
     first = F.min(F.struct("pos", "file", "n", "title", "level", "category")).alias("c")
     return found.groupBy(*key, "candidate").agg(first).select(*key, "candidate", "c.title", "c.level", "c.category")
 
@@ -59,12 +60,17 @@ def enrich(findings: DataFrame, index: Index, platform: str, most: int = MOST_RU
     """findings whose claimed detections give way to candidate rules with verdicts, where there are any.
 
     The best `most` by verdict, then level, title and id are shown; with before, by
-    level, title and id alone.
+    level, title and id alone, and no other is judged. Findings are written once.
     """
-    asked = verdicts(findings, candidates(findings, index), index, platform)
+    findings = written(findings)
     order = [F.desc(level_rank("level")), "title", "candidate"]
-    nth = F.row_number().over(W.partitionBy(*KEY).orderBy(*order if before else [verdict_rank(), *order]))
-    shown = asked.withColumn("nth", nth).where(F.col("nth") <= most)
+
+    def best(asked: DataFrame, *first: Column) -> DataFrame:
+        nth = F.row_number().over(W.partitionBy(*KEY).orderBy(*first, *order))
+        return asked.withColumn("nth", nth).where(F.col("nth") <= most)
+
+    asked = candidates(findings, index)
+    shown = verdicts(findings, best(asked), index, platform) if before else best(verdicts(findings, asked, index, platform), verdict_rank())
     text = F.when(F.col("verdict").isNotNull(), F.expr(label()))
     row = F.struct("nth", F.struct(F.lit("Sigma").alias("source"), F.format_string("%s (%s)", "title", "candidate").alias("rule"), F.col("level").alias("confidence"), text.alias("verdict")).alias("d"))
     lists = shown.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["d"]).alias("found"))

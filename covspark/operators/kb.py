@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import PRODUCT
+from ..functions import sql
+from ..functions.shell import COMMAND
 from .matcher import Entry
 
 BATCH = 200  # entries in one projection
@@ -54,16 +56,29 @@ def severity(noise: Column | str) -> Column:
     return F.when(noise >= 75, "critical").when(noise >= 50, "high").when(noise >= 25, "medium").otherwise("low")
 
 
-def match_units(units: DataFrame, kb: KnowledgeBase) -> DataFrame:
+def match_units(units: DataFrame, kb: KnowledgeBase, from_raw: bool = True) -> DataFrame:
     """units (commands, raw and any other columns) with a row for each entry that matches.
 
-    All entries of a batch are one projection; the entry's own columns come by a
-    broadcast join of the dimension. An entry matches a unit once.
+    What the raw line can tell comes first: lines on which no entry's line axis holds and
+    no entry's program can stand are dropped before their commands are parsed, which only
+    entries about programs, and those who read matched_command, ask for. All entries of a
+    batch are one projection; the entry's own columns come by a broadcast join of the
+    dimension. An entry matches a unit once. from_raw: commands are those of raw's text,
+    as in scripts; a recorded execution's program may have another name there.
     """
+    units = units.withColumn("lraw", F.expr("lower(raw)"))
+    if from_raw:
+        units = units.where(sql.some(dict.fromkeys(e.raw_test for e in kb.entries if e.on_line)))
     low = "named_struct('program', lower(c.program), 'args', transform(c.args, a -> lower(a)))"
-    ready = units.selectExpr("*", f"transform(commands, c -> named_struct('c', c, 'l', {low})) AS pairs", "lower(raw) AS lraw")
-    tests = [f"if(({e.on_line}) IS NULL, NULL, named_struct('entry', {i}, 'command', ({e.on_line}).command))" for i, e in enumerate(kb.entries) if e.on_line]
-    return _explode(ready, tests, ["pairs", "lraw"], kb).withColumnRenamed("command", "matched_command")
+    ready = units.selectExpr("*", f"transform(commands, c -> named_struct('c', c, 'l', {low})) AS pairs")
+    none = f"cast(NULL as {COMMAND})"
+    tests = [
+        f"if({e.raw_test}, named_struct('entry', {i}, 'command', {none}), NULL)" if e.raw_only else f"if(({e.on_line}) IS NULL, NULL, named_struct('entry', {i}, 'command', ({e.on_line}).command))"
+        for i, e in enumerate(kb.entries)
+        if e.on_line
+    ]
+    found = _explode(ready, tests, ["pairs", "lraw"], kb)
+    return found.withColumn("matched_command", F.coalesce("command", F.get("commands", F.lit(0)))).drop("command")
 
 
 def match_events(events: DataFrame, kb: KnowledgeBase) -> DataFrame:

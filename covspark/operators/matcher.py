@@ -144,6 +144,18 @@ def line_match(match: dict) -> str | None:
     return f"if({on_line}, named_struct('command', get(commands, 0)), NULL)"
 
 
+def raw_test(match: dict) -> str | None:
+    """What must hold of a line's text for line_match to match, and all that must if there is no program.
+
+    A program is named in the text of its line, if no quote splits its name.
+    """
+    on_line = line(match["line"]) if "line" in match else None
+    if "program" not in match:
+        return on_line
+    named = [f"contains(lraw, {sql.lit(p.lower())})" for p in _programs(match)]
+    return sql.every([sql.some([*named, "contains(raw, '\"')", "contains(raw, '\\'')"]), *([on_line] if on_line else [])])
+
+
 @dataclass
 class Entry:
     """A knowledge-base entry, checked."""
@@ -169,6 +181,8 @@ class Entry:
         if "args" in self.match and "program" not in self.match:
             self.warnings.append(f"{self.id}: args without a program are ignored")
         self.on_line = line_match(self.match)
+        self.raw_test = raw_test(self.match)
+        self.raw_only = "program" not in self.match
         self.on_event = event_match(self.match["event"]) if "event" in self.match else None
         if self.on_event and not representative_event(self.match):
             raise MatcherError(f"{self.id}: its event has nothing positive to stand for it")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..fixed import PRODUCT
 from ..functions import sql
 from ..functions.shell import COMMAND, commands
+from ..shared import written
 from ..ship import ship
 from .rules import FieldTest, Keywords, Rule, Search, address_bits
 
@@ -206,11 +207,14 @@ def with_addresses(rows: DataFrame, column: str, rules: list[Rule]) -> DataFrame
 def judge(rows: DataFrame, rules: dict[str, Rule], candidates: str, process: str = "process", audit: str = "audit") -> DataFrame:
     """rows with a row for each of its candidates (an array of rule ids) among rules, and its verdict.
 
-    A rule is evaluated on the rows that ask for it alone.
+    A rule is evaluated on the rows that ask for it alone. Rules beyond a batch take
+    projections of their own, which all read the rows as written once.
     """
     own = list(rules.values())
     for column in dict.fromkeys((process, audit)):
         rows = with_addresses(rows, column, own)
+    if len(rules) > BATCH:
+        rows = written(rows)
     keep = [c for c in rows.columns if c not in (process, audit)]
     made = [f"if(array_contains({candidates}, {sql.lit(i)}), named_struct('judged', {sql.lit(i)}, 'verdict', {fold(r, audit if r.audit_shaped else process)}), NULL)" for i, r in rules.items()]
     none = f"cast(array() as array<struct<judged:string,verdict:{VERDICT}>>)"

@@ -41,7 +41,7 @@ def predictive(units: DataFrame, kb: KnowledgeBase) -> DataFrame:
 def observed(ingest: Ingest, kb: KnowledgeBase) -> DataFrame:
     """Findings of telemetry: executions by their commands, lone events by their fields."""
     units = ingest.observations.withColumn("raw", F.expr(trim("raw")))
-    runs = match_units(units, kb).withColumns({"line": F.col("record").cast("bigint"), "source": F.col("raw"), "observed_side_effects": F.col("side_effects"), "observed_event": F.col("fields")}).select(*COLUMNS)
+    runs = match_units(units, kb, from_raw=False).withColumns({"line": F.col("record").cast("bigint"), "source": F.col("raw"), "observed_side_effects": F.col("side_effects"), "observed_event": F.col("fields")}).select(*COLUMNS)
     alone = match_events(ingest.events, kb).withColumns(
         {"line": F.col("record").cast("bigint"), "source": F.col("detail"), "observed_side_effects": F.array(F.struct("class", "detail")).cast(EFFECTS), "matched_command": F.lit(None).cast(COMMANDS[6:-1]), "observed_event": F.col("fields")}
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import MOST_FIRING
 from ..operators.candidates import KEY, candidates, for_process, level_rank, verdicts
+from ..shared import written
 from ..sources.ruleset import Index
 
 RANK = {"no-rules": 0, "gap": 1, "indeterminate": 2, "covered": 3}
@@ -24,8 +25,10 @@ def coverage(findings: DataFrame, index: Index, platform: str) -> DataFrame:
 
     covered: a candidate for process executions fires. indeterminate: none does and one
     can't be told, which holds for every candidate of a finding without a command.
-    gap: all say no. no-rules: there is no candidate.
+    gap: all say no. no-rules: there is no candidate. Findings are written once, as
+    candidates, evidence and results each read them.
     """
+    findings = written(findings)
     asked = verdicts(findings, candidates(findings, index).where(for_process()), index, platform)
     outcome = F.coalesce(F.col("verdict.outcome"), F.lit("indeterminate"))
     order = F.struct((-level_rank("level")).alias("l"), "title", "candidate")

@@ -94,20 +94,27 @@ def event_blocks(pred: dict, notes: list[str]) -> list[Block]:
     return [{(name, MODIFIER[kind]): [value]}]
 
 
+def _folded(block: Block) -> dict[tuple[str, str], tuple[str, str]]:
+    """A block's keys by field in lower case and modifier."""
+    return {(field.lower(), modifier): (field, modifier) for field, modifier in block}
+
+
 def merged(blocks: list[Block]) -> list[tuple[Block, set[tuple[str, str]]]]:
-    """Blocks that differ in one single-valued key become one; with each, the keys whose values must all hold."""
-    out: list[tuple[Block, set]] = []
-    for b in blocks:
-        both = {k for k, v in b.items() if len(v) > 1}
-        for have, must in out:
-            differing = [k for k in b if have.get(k) != b[k]]
-            if have.keys() == b.keys() and len(differing) <= 1 and not (set(differing) & (both | must)):
+    """Blocks that differ in the alternatives of one key become one, until none do; with each, the keys whose values must all hold."""
+    out = [({k: list(v) for k, v in b.items()}, {k for k, v in b.items() if len(v) > 1}) for b in blocks]
+    while True:
+        for (i, (have, must)), (j, (more, also)) in itertools.combinations(enumerate(out), 2):
+            own, other = _folded(have), _folded(more)
+            if own.keys() != other.keys() or {k for k in own if own[k] in must} != {k for k in other if other[k] in also}:
+                continue
+            differing = [k for k in own if set(have[own[k]]) != set(more[other[k]])]
+            if len(differing) <= 1 and not any(own[k] in must for k in differing):
                 for k in differing:
-                    have[k] = list(dict.fromkeys([*have[k], *b[k]]))
+                    have[own[k]] = list(dict.fromkeys([*have[own[k]], *more[other[k]]]))
+                del out[j]
                 break
         else:
-            out.append((dict(b), both))
-    return out
+            return out
 
 
 def _quote(text: str) -> str:

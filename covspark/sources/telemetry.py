@@ -19,6 +19,7 @@ from ..functions import records as R
 from ..functions.shell import basename_sql, commands_sql
 from ..functions.sql import lit, trim
 from ..operators.verdict import prepare
+from ..shared import written
 
 FORMATS = ("sysmon", "auditd", "esf")
 
@@ -35,6 +36,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src"), F.col("value").alias("text"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """src, n, line: a row a line, n in the order of the file. Large files are read in splits.
+
+    n is where the line's split begins, in bytes, plus its place among the split's
+    rows: a task reads fewer rows than bytes, so a later split's lines have larger n.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("src"), (F.col("_metadata.file_block_start") + row).alias("n"), F.col("value").alias("line"))
+
+
 def passwd(files: DataFrame) -> DataFrame:
     """uid, name of passwd lines; the last line of a uid counts."""
     lines = files.select("src", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).select("src", "n", F.split("line", ":").alias("f"))
@@ -94,24 +105,46 @@ def sysmon(files: DataFrame) -> Ingest:
 
 
 def audit_lines(files: DataFrame) -> DataFrame:
-    """src, n, kind, event, fields as written, text decoded: one row a line that has a type and an event id."""
+    """src, n, kind, event, fields as written, text decoded: one row a line that has a type and an event id.
+
+    files: src and text, a row a file; or src, n and line, a row a line. Further columns of lines stay.
+    """
     prepare(files.sparkSession)
-    lines = files.select("src", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    parsed = lines.select("src", "n", F.expr(R.pairs("line")).alias("fields")).selectExpr("src", "n", "fields", f"transform_values(fields, (k, v) -> {R.decoded('v')}) AS text")
-    return parsed.selectExpr("src", "n", "text['type'] AS kind", f"{R.event_id("fields['msg']")} AS event", "fields", "text").where("kind IS NOT NULL AND event IS NOT NULL")
+    lines = files if "line" in files.columns else files.select("src", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
+    own = [c for c in lines.columns if c != "line"]
+    parsed = lines.select(*own, F.expr(R.pairs("line")).alias("fields")).selectExpr(*own, "fields", f"transform_values(fields, (k, v) -> {R.decoded('v')}) AS text")
+    return parsed.selectExpr(*own, "text['type'] AS kind", f"{R.event_id("fields['msg']")} AS event", "fields", "text").where("kind IS NOT NULL AND event IS NOT NULL")
 
 
-def audit_groups(lines: DataFrame) -> DataFrame:
-    """src, record, recs: the records of an event, in order, wherever in the file they stand; events by first line."""
+def gathered(lines: DataFrame, *keys: str) -> DataFrame:
+    """src, event, keys, first, recs: the records of an event, in order, wherever in the file they stand."""
     row = F.struct("n", "kind", F.map_entries("fields").alias("fields"), F.map_entries("text").alias("text"))
-    grouped = lines.groupBy("src", "event").agg(F.min("n").alias("first"), F.sort_array(F.collect_list(row)).alias("recs"))
+    grouped = lines.groupBy("src", "event", *keys).agg(F.min("n").alias("first"), F.sort_array(F.collect_list(row)).alias("recs"))
     maps = "transform(recs, r -> named_struct('kind', r.kind, 'fields', map_from_entries(r.fields), 'text', map_from_entries(r.text)))"
-    return grouped.select("src", F.row_number().over(W.partitionBy("src").orderBy("first")).alias("record"), F.expr(maps).alias("recs"))
+    return grouped.select("src", "event", *keys, "first", F.expr(maps).alias("recs"))
+
+
+STRETCH = 1 << 16  # of a file's line numbers, whose events a task counts
+
+
+def audit_groups(lines: DataFrame) -> DataFrame:
+    """src, record, recs: events numbered by their first line within the file, a stretch of it in a task."""
+    groups = written(gathered(lines).withColumn("stretch", F.expr(f"first div {STRETCH}")))
+    sums = groups.groupBy("src", "stretch").agg(F.count("*").alias("c"))
+    before = W.partitionBy("src").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select("src", "stretch", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(W.partitionBy("src", "stretch").orderBy("first"))
+    return groups.withColumn("nth", nth).join(base, ["src", "stretch"]).select("src", (F.col("base") + F.col("nth")).alias("record"), "recs")
 
 
 def auditd(files: DataFrame, users: DataFrame | None = None) -> Ingest:
     """key=value records, several to an event. Socket addresses are decoded as they stand, in hex."""
-    rows = audit_groups(audit_lines(files))
+    return correlate(audit_events(audit_groups(audit_lines(files)), users))
+
+
+def audit_events(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """What each event says, of src, record, recs; further columns stay."""
+    own = [c for c in rows.columns if c not in ("src", "record", "recs")]
     first = lambda test: f"get(filter(recs, r -> {test}), 0)"
     chosen = {
         "call": "r.kind = 'SYSCALL'",
@@ -121,7 +154,7 @@ def auditd(files: DataFrame, users: DataFrame | None = None) -> Ingest:
         "path": "r.kind = 'PATH' AND coalesce(r.text['nametype'], '') <> 'PARENT'",
         "peer": "r.kind = 'SOCKADDR' AND r.fields['saddr'] IS NOT NULL",
     }
-    rows = rows.selectExpr("src", "record", *(f"{first(t)} AS {n}" for n, t in chosen.items()))
+    rows = rows.selectExpr("src", "record", *own, *(f"{first(t)} AS {n}" for n, t in chosen.items()))
     rows = rows.withColumns({"exec": F.col("run.text"), "uid": F.expr("call.fields['uid']"), "pid": F.expr("call.fields['pid']"), "worked": F.expr("run IS NULL AND coalesce(call.text['success'], 'yes') = 'yes'")})
     if users is None:
         rows = rows.withColumn("user", F.lit(None).cast("string"))
@@ -138,8 +171,8 @@ def auditd(files: DataFrame, users: DataFrame | None = None) -> Ingest:
     rows = rows.withColumn("class", F.expr("CASE WHEN address IS NOT NULL THEN 'network' WHEN file IS NOT NULL THEN 'file' END"))
     detail = "CASE class WHEN 'network' THEN concat('network connection to ', address.ip, coalesce(concat(':', address.port), '')) WHEN 'file' THEN concat(if(path.text['nametype'] = 'CREATE', 'file created ', 'file opened '), file) END"
     seen = "map_filter(CASE class WHEN 'network' THEN map('DestinationIp', address.ip, 'DestinationPort', address.port, 'ProcessId', pid) WHEN 'file' THEN map('TargetFilename', file, 'ProcessId', pid) END, (k, v) -> v IS NOT NULL)"
-    rows = rows.selectExpr("src", "record", "run IS NOT NULL AS is_exec", "pid", "class", f"{detail} AS detail", f"if(run IS NOT NULL, made, {seen}) AS fields")
-    return correlate(executions(rows))
+    rows = rows.selectExpr("src", "record", *own, "run IS NOT NULL AS is_exec", "pid", "class", f"{detail} AS detail", f"if(run IS NOT NULL, made, {seen}) AS fields")
+    return executions(rows)
 
 
 ESF = """process STRUCT<executable: STRUCT<path: STRING>, audit_token: STRUCT<pid: STRING>, pid: STRING>,

@@ -499,14 +499,74 @@ def test_streams(spark, tmp_path):
     query = stream.stream_findings(lines, kb.load("linux-auditd")).writeStream.format("memory").queryName("found").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert sorted(r.rule_id for r in spark.table("found").collect()) == ["curl", "id", "shadow-read"]
-    rows = [("h", "1", 1, True, None), ("h", "1", 2, False, "file"), ("h", "2", 3, False, "file"), ("h", None, 4, False, "network"), ("h", "1", 5, True, None), ("h", "1", 6, False, "file")]
-    schema = "host string, pid string, record long, is_exec boolean, class string"
-    spark.createDataFrame(rows, schema).withColumns({"ts": F.current_timestamp(), "detail": F.lit("d")}).write.json(f"{tmp_path}/ev")
-    events = spark.readStream.schema(schema + ", ts timestamp, detail string").json(f"{tmp_path}/ev")
-    query = stream.correlate(events).writeStream.format("memory").queryName("owned").outputMode("append").trigger(availableNow=True).start()
-    assert query.awaitTermination(60)
-    assert sorted((r.record, r.owner) for r in spark.table("owned").collect() if r.owner) == [(2, 1), (6, 5)]
-    assert spark.table("owned").where("owner IS NULL").count() == 2
+
+
+def run_stream(df, name):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    return df.sparkSession.table(name).collect()
+
+
+def test_streamed_records_have_the_owners_of_the_batch(spark, tmp_path):
+    """Records arrive out of order, over several files, a micro-batch each."""
+    from covspark.streaming import ingest as stream
+
+    rnd = random.Random(4)
+    rows = [("h", rnd.choice(["1", "2", None]), i, rnd.random() < 0.3, "file") for i in range(120)] + [("h", "1", 10, True, None), ("h", "1", 5, False, "file")]
+    rows = [(h, p, i, e, None if e else c, 1_700_000_000 + i, "d") for h, p, i, e, c in dict((r[2], r) for r in rows).values()]
+    schema = "host string, pid string, record long, is_exec boolean, class string, s long, detail string"
+    batches = [sorted(rows[a : a + 30], key=lambda r: rnd.random()) for a in range(0, 120, 30)] + [[("h", "9", 10**6, False, "file", 1_700_100_000, "end")]] * 2
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.json(f"{tmp_path}/in/{n}")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.record: r.owner for r in run_stream(stream.correlate(events), "owned") if r.record < 10**6}
+    want = {i: max((j for _, q, j, x, *_ in rows if x and q == p and j < i), default=None) if p else None for _, p, i, e, *_ in rows if not e}
+    assert got == want
+
+
+def test_streamed_audit_events_are_those_of_the_batch(spark, tmp_path):
+    """Records of an event arrive apart, in other micro-batches than its first."""
+    from covspark.streaming import ingest as stream
+
+    lines = []
+    for i in range(40):
+        at = f"msg=audit({1_700_000_000 + i}.5:{i})"
+        lines.append(f'type=SYSCALL {at}: success={"no" if i % 7 == 3 else "yes"} pid={i % 3} comm="c"')
+        lines.append(f'type=EXECVE {at}: argc=2 a0="cat" a1="/etc/shadow"' if i % 2 else f'type=PATH {at}: name="/etc/cron.d/x{i}" nametype=CREATE')
+    rows = [("f", n, x) for n, x in enumerate(lines)]
+    for n, batch in enumerate([rows[0:50:2], rows[1:50:2], rows[50:][::-1], [("f", 9999, "type=SYSCALL msg=audit(1800000000.0:9999): pid=1")]]):
+        spark.createDataFrame(batch, "src string, n long, line string").coalesce(1).write.json(f"{tmp_path}/in/{n}")
+    streamed = spark.readStream.schema("src string, n long, line string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"{tmp_path}/in")
+    columns = ["is_exec", "pid", "raw", "class", "detail"]
+    got = sorted(tuple(str(r[c]) for c in columns) for r in run_stream(stream.stream_audit(streamed).select("record", "commands", "fields", *columns), "audited") if r.record < 9999)
+    batch = telemetry.audit_events(telemetry.audit_groups(telemetry.audit_lines(spark.createDataFrame(rows, "src string, n long, line string"))))
+    assert got == sorted(tuple(str(r[c]) for c in columns) for r in batch.collect()) and len(got) == 40
+    found = stream.audit_findings(spark.table("audited").withColumn("src", F.lit("f")), kb.load("linux-auditd"))
+    assert {r.record for r in found.where("rule_id = 'shadow-read'").collect()} == {2 * i for i in range(40) if i % 2}
+
+
+def test_audit_lines_read_in_splits(spark, tmp_path):
+    body = "\n".join(f'type=EXECVE msg=audit(1.0:{i}): argc=1 a0="run{i}"' for i in range(3000))
+    (tmp_path / "a.log").write_text(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = telemetry.auditd(telemetry.read_lines(spark, f"{tmp_path}/a.log")).observations.select("record", "raw").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.record, r.raw) for r in got) == [(i + 1, f"run{i}") for i in range(3000)]
+
+
+def test_scaffold_blocks_merge_until_none_do():
+    block = lambda a, b, f="F": {(f, "contains"): [a], ("G", "contains"): [b]}
+    assert scaffold.merged([block("a", "1"), block("a", "2"), block("b", "1"), block("b", "2", "f")]) == [({("F", "contains"): ["a", "b"], ("G", "contains"): ["1", "2"]}, set())]
+    assert len(scaffold.merged([block("a", "1"), block("b", "2")])) == 2
+
+
+def test_programs_in_quotes_are_found(spark):
+    """What the raw text rules out before commands are parsed."""
+    assert found(spark, "'whoami'; wh'oam'i") == [(1, "whoami")]
+    assert found(spark, "c\"ur\"l http://x") == found(spark, "curl http://x")
+    assert found(spark, "/usr/bin/ID") == [(1, "id")]
 
 
 def test_streamed_scripts_give_what_the_batch_gives(spark, tmp_path):
