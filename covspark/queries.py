@@ -6,8 +6,6 @@ telemetry, and dimension tables for techniques and rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,30 +15,11 @@ from .functions import records, shell, sql
 from .operators import edr, kb, rules, verdict
 from .operators.candidates import enrich, level_rank
 from .plans import analyze, coverage, deltas, verify
+from .registry import ORACLE, QUERIES, query, table
 from .serve import technique_entries
 from .sinks import exports, gates
 from .sources import ruleset, telemetry
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    verdict.prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- a knowledge base and rules about what the tables hold
 
 _DETECTION = [{"source": "Sigma", "rule": "x", "confidence": "high"}]
@@ -117,7 +96,7 @@ def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FINDINGS} SELECT technique, max(noise) AS score, count(*) AS n, count(DISTINCT doc_id) AS documents FROM f GROUP BY 1")
 def navigator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and comments of each technique."""
+    """Score and comments of each technique."""
     rows = _findings(spark, sf_dir).withColumn("pos", F.col("line"))
     scores = exports.technique_scores(rows, ["src"])
     n = F.size(F.split("comment", "\n"))
@@ -126,7 +105,7 @@ def navigator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FINDINGS} SELECT rule_id, count(*) AS results, concat('https://attack.mitre.org/techniques/', replace(min(technique), '.', '/')) AS help, CASE WHEN max(noise) >= 75 THEN 'error' WHEN max(noise) >= 50 THEN 'warning' ELSE 'note' END AS level, CASE rule_id WHEN 'license' THEN '2.0' WHEN 'secret' THEN '8.0' WHEN 'address' THEN '5.5' WHEN 'bar' THEN '3.0' WHEN 'word' THEN '1.0' ELSE '0.5' END AS security FROM f GROUP BY 1")
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule once, its results counted."""
+    """A rule once, its results counted."""
     f = _findings(spark, sf_dir)
     one = F.get("techniques", F.lit(0))["id"]
     return f.groupBy("rule_id").agg(F.count("*").alias("results"), exports.attack_url(F.min(one)).alias("help"), F.max(exports.sarif_level(F.col("severity"))).alias("level"), F.max(exports.security_severity(F.col("noise"))).alias("security"))
@@ -382,7 +361,7 @@ def socket_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, lower(event_type) AS kind, CAST(value AS VARCHAR) IS NOT NULL AS known, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
 def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON as a map of text."""
+    """Nested JSON as a map of text."""
     rows = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("Kind"), F.struct(F.from_json("props", "map<string,string>").alias("data"), F.col("value").alias("eventid")).alias("inner"))).alias("j"))
     flat = rows.select("event_id", records.flatten_column(F.col("j")).alias("m"))
     return flat.selectExpr("event_id", "lower(m['Kind']) AS kind", "m['EventID'] IS NOT NULL AS known", "m['k'] AS k")
@@ -390,7 +369,7 @@ def flattened_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def uid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names for ids, as audit users have (J7, S11); the planner picks the join by size."""
+    """Names for ids, as audit users have (S11); the planner picks the join by size."""
     lines = table(spark, sf_dir, "customer").select(F.lit("p").alias("src"), F.concat(F.regexp_replace("c_name", ":", "_"), F.lit(":x:"), "c_custkey").alias("text"))
     names = telemetry.passwd(lines)
     orders = table(spark, sf_dir, "orders").withColumn("uid", F.col("o_custkey").cast("string"))
@@ -410,12 +389,13 @@ def _technique_rules(spark: SparkSession, sf_dir: str, before: bool) -> DataFram
     order = [F.desc(level_rank("level")), "s_name", "s_suppkey"]
     order = order if before else [F.col("s_suppkey") % 3, *order]
     best = rules_.withColumn("nth", F.row_number().over(W.partitionBy("nation").orderBy(*order))).where("nth <= 5")  # the order is the rules' own: five a nation are joined
-    return asked.join(best, "nation").select("l_orderkey", "l_partkey", "s_suppkey", "nth")
+    nth = F.row_number().over(W.partitionBy("l_orderkey", "l_partkey").orderBy(*order))  # a pair may ask for several nations
+    return asked.join(best.drop("nth"), "nation").withColumn("nth", nth).where("nth <= 5").select("l_orderkey", "l_partkey", "s_suppkey", "nth")
 
 
 @query(f"SELECT * FROM ({SHOWN.format(first='')}) WHERE nth <= 5")
 def top5_before_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five candidates by level and title."""
+    """Five candidates by level and title."""
     return _technique_rules(spark, sf_dir, True)
 
 
@@ -456,7 +436,7 @@ detection: {s: {CommandLine: x}, condition: s}
 
 @query(f"{FINDINGS} SELECT doc_id, line, rule_id, CASE rule_id WHEN 'secret' THEN 'covered' WHEN 'address' THEN 'indeterminate' WHEN 'license' THEN 'gap' WHEN 'opening' THEN 'gap' ELSE 'no-rules' END AS coverage, CASE rule_id WHEN 'secret' THEN 'Tokens in text' ELSE '' END AS firing FROM f WHERE rule_id <> 'opening' OR NOT contains((SELECT lower(raw) FROM l WHERE l.doc_id = f.doc_id AND l.line = f.line), 'zzz')")
 def finding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by whether a rule fires on them."""
+    """Findings by whether a rule fires on them."""
     index = ruleset.from_texts(spark, RULE_FILES, "linux")
     rows = coverage.coverage(_findings(spark, sf_dir), index, "linux-auditd")
     return rows.select(F.col("src").cast("bigint").alias("doc_id"), "line", "rule_id", "coverage", coverage.summary().alias("firing"))
@@ -473,7 +453,7 @@ def enriched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('secret', 'verified', 'Tokens in text'), ('license', 'unverified', ''), ('address', 'indeterminate', ''), ('bar', 'no-rule', ''), ('word', 'no-rule', ''), ('opening', 'unverified', '')) t(id, status, firing)")
 def verified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the knowledge base claims, held against rules."""
+    """What the knowledge base claims, held against rules."""
     verdict.prepare(spark)
     rows = verify.verify(spark, kb.parse(TABLE_KB), ruleset.from_texts(spark, RULE_FILES, "linux"))
     return rows.select("id", "status", F.array_join("firing", "; ").alias("firing"))
@@ -496,7 +476,7 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"{DELTA} SELECT coalesce(b.rule_id, c.rule_id) AS rule_id, CASE WHEN b.rule_id IS NULL THEN 'added' WHEN c.rule_id IS NULL THEN 'removed' ELSE 'changed' END AS change, b.noise AS before, c.noise AS after FROM b FULL JOIN c ON b.rule_id = c.rule_id WHERE b.noise IS DISTINCT FROM c.noise")
 def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules added, removed and changed between two runs."""
+    """Rules added, removed and changed between two runs."""
     return deltas.findings_delta(*_two_runs(spark, sf_dir)).select("rule_id", "change", F.col("before.noise").alias("before"), F.col("after.noise").alias("after"))
 
 
@@ -566,14 +546,14 @@ def edr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE lower(replace(p_brand, '#', '.')) = 'brand.1' OR starts_with(lower(replace(p_brand, '#', '.')), 'brand.')")
 def technique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A technique or what lies below it."""
+    """A technique or what lies below it."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.array(F.struct(F.lower(F.replace("p_brand", F.lit("#"), F.lit("."))).alias("id"))).alias("techniques"))
     return technique_entries(parts, "brand").select("p_partkey")
 
 
 @query(f"{FINDINGS} SELECT DISTINCT rule_id FROM f WHERE rule_id IN ('license', 'opening', 'none')")
 def gap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of gaps, for scaffolding."""
+    """Entries of gaps, for scaffolding."""
     index = ruleset.from_texts(spark, RULE_FILES, "linux")
     gaps = coverage.coverage(_findings(spark, sf_dir), index, "linux-auditd").where("coverage = 'gap'").select("rule_id")
     return kb.parse(TABLE_KB).table(spark).join(gaps, "rule_id", "left_semi").select("rule_id")
