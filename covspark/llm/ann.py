@@ -14,7 +14,9 @@ from .scan import tidy
 from .store import Store, table
 
 CENTRE_SAMPLE = 4096  # vectors that the centre is the mean of, at most
-QUERY_BLOCK = 2048  # queries held by a task, about
+QUERY_BYTES = 1 << 26  # of query vectors that are broadcast and answered in one scan
+QUERY_BLOCK = 1 << 16  # queries of a scan, at most
+STEP = 2048  # of them that meet a batch of rows at once
 ERROR = 3.0  # standard widths of the error bound on an inner product
 ROWS, PAIRS = 2048, 1 << 15  # rows estimated and pairs reranked at once
 
@@ -112,20 +114,24 @@ def search(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], centre: np.
                 norm, cosine = (part.column(i).to_numpy().astype(np.float32) for i in (2, 3))
                 packed = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), -1)
                 sign = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
-                inner = (sign @ turned) * (norm / cosine)[:, None]
+                scale = (norm / cosine)[:, None]
                 spread = norm * np.sqrt(np.maximum(0, 1 - cosine**2)) / cosine * np.float32(ERROR / np.sqrt(max(1, dim - 1)))
-                guess = norm[:, None] ** 2 + length**2 - 2 * inner
-                guess[own[:, None] == ids] = np.inf
-                lower = guess - 2 * spread[:, None] * length - np.float32(1e-5) * (norm[:, None] ** 2 + length**2)
-                fresh = np.flatnonzero(~np.isfinite(best.bound))
-                if len(fresh):
-                    m = min(k, len(part))
-                    r = np.argpartition(guess[:, fresh], m - 1, axis=0)[:m]
-                    q = np.broadcast_to(fresh, r.shape)
-                    ok = np.isfinite(guess[r, q])
-                    measure(r[ok], q[ok], own, v)
-                r, q = np.nonzero(lower <= (best.bound**2).astype(np.float32) * np.float32(1 + 1e-5))
-                measure(r, q, own, v)
+                for a in range(0, len(ids), STEP):
+                    some = slice(a, a + STEP)
+                    inner = (sign @ turned[:, some]) * scale
+                    guess = norm[:, None] ** 2 + length[some] ** 2 - 2 * inner
+                    mine = own[:, None] == ids[some]
+                    guess[mine] = np.inf
+                    lower = guess - 2 * spread[:, None] * length[some] - np.float32(1e-5) * (norm[:, None] ** 2 + length[some] ** 2)
+                    fresh = np.flatnonzero(~np.isfinite(best.bound[some]))
+                    if len(fresh):
+                        m = min(k, len(part))
+                        r = np.argpartition(guess[:, fresh], m - 1, axis=0)[:m]
+                        q = np.broadcast_to(fresh, r.shape)
+                        ok = np.isfinite(guess[r, q])
+                        measure(r[ok], q[ok] + a, own, v)
+                    r, q = np.nonzero(~(lower > (best.bound[some] ** 2).astype(np.float32) * np.float32(1 + 1e-5)) & ~mine)  # never a query's own row; what overflows is measured
+                    measure(r, q + a, own, v)
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.d)], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
@@ -135,11 +141,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec
     """query_id, rank, vec_id, score: each query's k nearest by Euclidean distance, nearest first.
 
     Rows that is_query names are searched against all rows but their own vec_id's, in
-    blocks of about QUERY_BLOCK. The centre is the mean of at most CENTRE_SAMPLE vectors,
+    scans of at most QUERY_BLOCK of them or QUERY_BYTES. The centre is the mean of at most CENTRE_SAMPLE vectors,
     those whose ids hash lowest; every vector is indexed. Ties go to the smaller vec_id; a
     vec_id on several rows counts once, with its nearest vector (as a query, with the first
     in order). Null or zero vectors, those with null or non-finite components, those of
-    another length than the commonest (the shorter on ties) and null ids take no part.
+    another length than the commonest (the shorter on ties) and null ids take no part. Ids are
+    integers. An empty table gives no rows; other columns play no part.
     """
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "ann")
     good, dim = _clean(vectors, key, value, dim)
@@ -153,7 +160,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec
     index = store.keep(build(good, dim, centre), "index")
     asked = index.select(F.col("id").alias(key), "id", "v").where(is_query)
     n = asked.count()
-    blocks, found = max(1, -(-n // QUERY_BLOCK)), []
+    blocks, found = max(1, -(-n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * dim))))), []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").toPandas()
         if len(block):

@@ -12,7 +12,7 @@ from .store import Store, table
 
 SHARDS = 8
 ROWS_PER_RANGE = 200_000
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 17  # 2.6e10 rows at ROWS_PER_RANGE; beyond, ranges hold more rows each
 SAMPLES_PER_RANGE = 32
 
 
@@ -34,6 +34,8 @@ def _quantiles(keys: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Deal docs into shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    A range is one window task, of about rows_per_range rows; there are MOST_RANGES at most.
+
     The order is by a key of 40 bits of the text's hash and 24 of doc_id's, so
     equal texts lie side by side and even a group with most rows can be split.
     Size-weighted samples of the key (at most SAMPLES_PER_RANGE * MOST_RANGES rows)
