@@ -2,14 +2,16 @@
 
 Tier one is a minimal perfect hash over the vocabulary, which resolves each
 pre-token that is itself a token. Tier two merges the rest with a heap over
-linked bytes. Pre-tokens met before are found by a bounded table of results.
+linked bytes; a table of bounded bytes remembers what was merged.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,11 @@ from pyspark.sql import types as T
 from .scan import mix, pieces, ranges, tidy, utf8
 from .store import table
 
-CACHE = 1 << 19  # pre-tokens whose ids a worker remembers
+PIECE = 1 << 20  # bytes of text handled at once, a text at least
+LONG = 1 << 20  # characters beyond which a text is split a part at a time
+STEP = 1 << 18  # pre-tokens of such a part
+MEMO = 64 << 20  # bytes, about, of merged pre-tokens that a worker remembers
+ENTRY = 200  # bytes of one, about, besides its text and ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +49,7 @@ class PerfectHash:
         self.buckets = max(1, n // 4)
         bucket, own = self._split(keys)
         self.shift = np.zeros(self.buckets, np.int64)
-        free, self.slot_of = np.ones(n, bool), np.zeros(len(keys), np.int64)
+        free, slot_of = np.ones(n, bool), np.zeros(len(keys), np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         sizes = np.diff(edges)
@@ -65,13 +71,13 @@ class PerfectHash:
                 else:
                     d0 += 512
                     continue
-                self.shift[b], self.slot_of[members] = d0 + r, at[r]
+                self.shift[b], slot_of[members] = d0 + r, at[r]
                 free[at[r]] = False
                 break
         for (b, key), slot in zip(lone, np.flatnonzero(free), strict=False):
-            self.shift[b], self.slot_of[key] = -1 - slot, slot
+            self.shift[b], slot_of[key] = -1 - slot, slot
         self.keys: list[bytes] = [b""] * n
-        for key, slot in zip(keys, self.slot_of.tolist(), strict=True):
+        for key, slot in zip(keys, slot_of.tolist(), strict=True):
             self.keys[slot] = key
 
     def _split(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,24 +101,35 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: the pair of lowest rank, leftmost first, joins until none can.
 
     A heap holds pairs over a linked list of parts: n log n for a piece of n bytes.
+    An entry is one number: a pair's rank, where it begins and where it ends.
     """
-    n = len(piece)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    gone = bytearray(n + 1)
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    n, find = len(piece), ranks.get
+    w = (n + 1).bit_length()
+    low, wide = (1 << w) - 1, 2 * w
+    end, before = list(range(1, n + 2)), list(range(-1, n))  # a part that was taken in has end 0
+    heap = []
+    for i in range(n - 1):
+        r = find(piece[i : i + 2])
+        if r is not None:
+            heap.append(r << wide | i << w | i + 2)
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        i, stop = entry >> w & low, entry & low
         j = end[i]
-        if gone[i] or j >= n or gone[j] or end[j] != stop:
+        if not j or j >= n or end[j] != stop:
             continue
-        gone[j], end[i] = 1, stop
+        end[j], end[i], before[stop] = 0, stop, i
         if stop < n:
-            before[stop] = i
-            if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-            heapq.heappush(heap, (r, h, stop))
+            far = end[stop]
+            r = find(piece[i:far])
+            if r is not None:
+                heapq.heappush(heap, r << wide | i << w | far)
+        h = before[i]
+        if h >= 0:
+            r = find(piece[h:stop])
+            if r is not None:
+                heapq.heappush(heap, r << wide | h << w | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -120,46 +137,113 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Vocabulary:
+    """Ranks and their perfect hash: made once, on the driver, and broadcast. Its size is the vocabulary's."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.hash = ranks, PerfectHash(list(ranks))
+        self.id_at = np.array([ranks[k] for k in self.hash.keys] if ranks else [0], np.int32)
+
+    def names(self) -> list[bytes | None]:
+        """The bytes of each id."""
+        out: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for b, i in self.ranks.items():
+            out[i] = b
+        return out
+
+
 class Encoder:
-    """Ids of texts. State is the vocabulary and a bounded table of pre-tokens seen."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        self.ranks, self.find, self.most = ranks, regex.compile(pattern).findall, cache
-        self.hash = PerfectHash(list(ranks))
-        self.id_at = [self.ranks[k] for k in self.hash.keys] if ranks else []
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
-        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        raw = [x.encode("utf-8", "surrogatepass") for x in new]
-        for text, piece, slot in zip(new, raw, self.hash.slots(raw), strict=True):
-            ids = [self.id_at[slot]] if slot >= 0 else merge(piece, self.ranks)
-            k = len(self.code)
-            if k == len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.count[k], self.code[text] = self.used, len(ids), k
-            self.used += len(ids)
+    """Ids of texts. State is the vocabulary and a table of merged pre-tokens, bounded by its bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = MEMO):
+        self.of, self.pattern, self.most = vocabulary, regex.compile(pattern), memo
+        self.memo: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}  # what was remembered before, the older half
+        self.held = 0
+
+    def merged(self, piece: bytes) -> bytes:
+        """The ids of a pre-token, as int32."""
+        ids = self.memo.get(piece)
+        if ids is None:
+            ids = self.past.get(piece) or np.array(merge(piece, self.of.ranks), np.int32).tobytes()
+            size = ENTRY + len(piece) + len(ids)
+            if self.held + size > self.most // 2:
+                self.past, self.memo, self.held = self.memo, {}, 0
+            if size <= self.most // 2:
+                self.memo[piece] = ids
+                self.held += size
+        return ids
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has. The perfect hash answers for each distinct word once."""
+        code = {x: i for i, x in enumerate(set(words))}
+        raw = [x.encode("utf-8", "surrogatepass") for x in code]
+        slot = np.array(self.of.hash.slots(raw), np.int64)
+        each = [self.merged(raw[i]) for i in np.flatnonzero(slot < 0)]
+        count = np.ones(len(raw), np.int64)
+        count[slot < 0] = [len(x) // 4 for x in each]
+        first = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        flat[first[slot >= 0]] = self.of.id_at[slot[slot >= 0]]
+        if each:
+            flat[ranges(first[slot < 0], count[slot < 0])] = np.frombuffer(b"".join(each), np.int32)
+        codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+        return flat[ranges(first[codes], count[codes])], count[codes]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, and their n + 1 offsets; null is empty."""
-        split = [self.find(x) if x else [] for x in texts]
-        new = set().union(*split).difference(self.code) if split else set()
-        if len(self.code) + len(new) > self.most and self.code:
-            self.forget()
-            new = set().union(*split)
-        self.learn(list(new))
-        codes = np.fromiter((c for x in split for c in map(self.code.__getitem__, x)), np.int64, sum(map(len, split)))
-        counts = self.count[codes]
-        ids = self.flat[ranges(self.first[codes], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
+        """All ids of the texts, one after another, and their n + 1 offsets; null is empty.
+
+        Pre-tokens of a long text exist a part at a time.
+        """
+        out, sizes, words, owner = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), [], []
+
+        def flush() -> None:
+            if words:
+                ids, count = self.lookup(words)
+                out.append(ids)
+                np.add.at(sizes, np.repeat([i for i, _ in owner], [n for _, n in owner]), count)
+            words.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) <= LONG:
+                found = self.pattern.findall(text)
+                words += found
+                owner.append((i, len(found)))
+                if len(words) >= STEP:
+                    flush()
+                continue
+            matches = self.pattern.finditer(text)
+            while found := [m.group() for m in islice(matches, STEP)]:
+                words += found
+                owner.append((i, len(found)))
+                flush()
+        flush()
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Decoder:
+    """What ids stand for, by one gather."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        names = vocabulary.names()
+        self.names = pa.array(names, pa.large_binary())
+        self.numbers = pa.array([f"{i} " for i in range(len(names))], pa.large_string())
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and the offsets in them that at, offsets of ids, come to."""
+        data, ends = utf8(self.names.take(pa.array(ids)))
+        return data, ends[at]
+
+    def digests(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[str], list[str]]:
+        """Of each text: SHA-256 of its ids in decimal, joined by a space, and of its decoded bytes."""
+        plain, ends = utf8(self.numbers.take(pa.array(ids)))
+        data, edge = self.decode(ids, at)
+        ends = ends[at]
+        said = [hashlib.sha256(plain[a : b - 1] if b > a else b"").hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return said, [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -167,19 +251,19 @@ def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", key: str = "doc_id", out: str = "token_ids") -> DataFrame:
-    """key and its text's ids. Ranks are broadcast; their number is the vocabulary's.
+    """key and its text's ids. The vocabulary is broadcast.
 
     Null and empty texts have no ids. Rows stay as they are, repeated ones too;
-    other columns of docs play no part, whatever their names.
+    other columns of docs play no part, whatever their names. No rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = T.StructType([T.StructField("k", source.schema["k"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", PIECE):
                 ids, at = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), _list_column(ids, at)], ["k", "ids"])
 
@@ -187,41 +271,46 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", key: str = "doc_id", out: str = "decoded") -> DataFrame:
-    """key, the ids, and the bytes that they stand for; null ids are none."""
-    shared = tokens.sparkSession.sparkContext.broadcast(ranks)
+    """key, the ids, and the bytes that they stand for; null ids are none. An id that the vocabulary lacks raises."""
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     source = tokens.select(F.col(key).alias("k"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
     schema = T.StructType([*source.schema.fields, T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = sorted((i, b) for b, i in shared.value.items())
-        most = by_id[-1][0] + 1 if by_id else 0
-        names: list[bytes | None] = [None] * most
-        for i, b in by_id:
-            names[i] = b
-        parts = pa.array(names, pa.binary())
+        decoder = Decoder(shared.value)
         for batch in batches:
             column = batch.column(1)
             at = np.asarray(column.offsets).astype(np.int64)
             step = max(1, (1 << 20) * len(batch) // max(1, int(at[-1] - at[0])))
             for a in range(0, len(batch), step):
                 b = min(len(batch), a + step)
-                data, ends = utf8(parts.take(column.values.slice(at[a], at[b] - at[a])))
-                texts = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends[at[a : b + 1] - at[a]].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                data, ends = decoder.decode(np.asarray(column.values.slice(at[a], at[b] - at[a])), at[a : b + 1] - at[a])
+                texts = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.slice(a, b - a), texts], ["k", "ids", "b"])
 
     return source.mapInArrow(tidy(run), schema).select(F.col("k").alias(key), F.col("ids").alias(ids), F.col("b").alias(out))
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode and decode give; and token_ids, if asked for."""
-    both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        *(["token_ids"] if ids else []),
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256: digests of what a text encodes to and of what that decodes to; and token_ids, if asked for.
+
+    One pass over the rows, so a task has one Python worker. Null, empty, repeated
+    and clashing rows are as in encode.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = f"k {source.schema['k'].dataType.simpleString()}, {'token_ids array<int>, ' if ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value, pattern), Decoder(shared.value)
+        for batch in batches:
+            for part in pieces(batch, "t", PIECE):
+                own, at = encoder.encode(part.column(1).to_pylist())
+                columns = {"k": part.column(0)} | ({"token_ids": _list_column(own, at)} if ids else {})
+                said, back = decoder.digests(own, at)
+                yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(np.diff(at)), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
+
+    return source.mapInArrow(tidy(run), kind).withColumnRenamed("k", key)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, load_ranks
+from .bpe import PIECE, Encoder, Vocabulary, load_ranks
 from .scan import pieces, tidy, utf8
 from .store import table
 
@@ -41,20 +41,19 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rule: s
     token is joined to lines by its span in the text, and one that crosses a
     boundary is counted once, where rule says (see attribute); n_crossing counts
     those among n_tokens. Counts of a text's lines add up to its tokens. Null and
-    empty texts have one empty section. Repeated rows have rows of their own.
+    empty texts have one empty section. Repeated rows have rows of their own; an
+    empty table gives none; other columns play no part, whatever their names.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
-        width = np.zeros(max(shared.value.values(), default=0) + 1, np.int64)
-        for b, i in shared.value.items():
-            width[i] = len(b)
+        width = np.array([len(b or b"") for b in shared.value.names()], np.int64)
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", PIECE):
                 ids, at = encoder.encode(part.column(1).to_pylist())
                 data, edge = utf8(part.column(1))
                 n = len(part)
