@@ -57,8 +57,10 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark delete the shuffle files of jobs that are over: it does when the driver's heap is swept."""
         for name in names:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Substring dedup by recompression.
 
 Words get names, and texts become sequences of names. In each round runs of a name,
-of any length, and then pairs of a left and a right name, twice, become symbols; Spark
-gives every distinct one of the whole corpus one name and drops those that occur once. Equal
+of any length, and then pairs of a left and a right name, twice, become symbols. Spark
+looks at every distinct one of the whole corpus: its name is a hash of what it stands
+for, unless another has that too, and it is dropped if it occurs once. Equal
 words far enough inside equal texts so become equal symbols everywhere, and a window
 that holds a symbol without a second place is out. In the end a symbol that stands
 inside a window, with the words around it that decide it, reveals a repeat; windows
@@ -11,15 +12,15 @@ there are then verified by the names of all their words.
 
 from __future__ import annotations
 
+import functools
 import pickle
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scan import joined, mix, pieces, ranges, signed, starts, tidy, white_words, windows, words
@@ -28,6 +29,8 @@ from .store import BROADCAST_ROWS, Store, narrow, table
 WINDOW = 35
 PAIRS = 2  # times that a round names pairs, after runs
 SEGMENT_BYTES = 1 << 21  # of text in a segment, whose symbols a task holds at once; one text at least
+TURNS = 4  # parts of the segments that a round settles one after another
+SEGMENT_BITS, CODE_BITS = 16, 27  # segments of a partition (128 GB), distinct words of one
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -55,6 +58,19 @@ def codes_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return code, np.stack([a[new], b[new]], 1), np.diff(np.append(np.flatnonzero(new), len(x)))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 as rows of their lower, higher ... bytes: compressible each by itself."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    """What _planes was made of."""
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
 @dataclass
 class Part:
     """Spans of texts of a segment that windows not yet ruled out cover, and their symbols.
@@ -166,33 +182,40 @@ class Part:
     def pack(self) -> bytes:
         """The part in few bytes: names as places in a list, positions as steps, all in the narrowest type, compressed."""
         here = np.arange(len(self.word))
-        flat = [self.one, self.two]
+        lists, flat = [], [np.packbits(self.gone)]
         for x in (self.word, self.name):
-            flat += np.unique(x, return_inverse=True)
-        flat += [np.packbits(self.gone)]
+            values, place, often = np.unique(x, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # common names have small numbers
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            lists.append(values[order])
+            flat.append(rank[place])
         flat += [np.diff(x, prepend=0) for x in (self.text, self.at, self.begin)]
         code = self.code[:0] if np.array_equal(self.code, self.word) else self.code + 1  # words that await names are said once
         flat += [self.first, self.size, code, self.left - here, here + 1 - self.right]
-        raw = pickle.dumps([x if x.dtype == np.uint64 or x is self.one or x is self.two else x.astype(np.min_scalar_type(x.max(initial=0))) for x in flat], 5)
+        raw = pickle.dumps([self.one, self.two, *lists, *map(_planes, flat)], 5)
         return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
     @staticmethod
     def unpack(data: pa.Scalar) -> Part:
         raw = data.as_buffer()
         size = int.from_bytes(raw[:8].to_pybytes(), "little")
-        one, two, words_, word, names, name, gone, text, at, begin, first, size, code, left, right = pickle.loads(pa.decompress(raw[8:], size, "zstd"))
-        text, at, begin = (np.cumsum(x, dtype=np.int64) for x in (text, at, begin))
-        first, size, code, left, right = (x.astype(np.int64) for x in (first, size, code, left, right))
+        one, two, words_, names, *flat = pickle.loads(pa.decompress(raw[8:], size, "zstd"))
+        gone, word, name, text, at, begin, first, size, code, left, right = map(_whole, flat)
+        text, at, begin = map(np.cumsum, (text, at, begin))
         here = np.arange(len(word))
         own = words_[word]
-        return Part(one, two, text, first, at, own, names[name], begin, size, here + left, here + 1 - right, np.unpackbits(gone, count=len(word)).astype(bool), code - 1 if len(code) or not len(begin) else own.astype(np.int64))
+        gone = np.unpackbits(gone.astype(np.uint8), count=len(word)).astype(bool)
+        return Part(one, two, text, first, at, own, names[name], begin, size, here + left, here + 1 - right, gone, code - 1 if len(code) or not len(begin) else own.astype(np.int64))
 
     def row(self, seg: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        return {"seg": seg, "n": len(keys), "keys": keys.tobytes(), "counts": counts.astype(np.int32).tobytes(), "body": self.pack()}
+        if len(keys) >> CODE_BITS:
+            raise ValueError("a text has too many distinct words")
+        return {"seg": seg, "keys": keys[:, 0].tobytes(), "checks": (keys[:, 1] >> np.uint64(32)).astype(np.uint32).tobytes(), "counts": counts.astype(np.int32).tobytes(), "body": self.pack()}
 
 
-SEQUENCE = "seg long, n int, keys binary, counts binary, body binary"
-_SCHEMA = pa.schema([("seg", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
+SEQUENCE = "seg long, keys binary, checks binary, counts binary, body binary"
+_SCHEMA = pa.schema([("seg", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
 
 
 def opened(one: np.ndarray, two: np.ndarray, column: pa.Array, window: int) -> tuple[Part, np.ndarray, np.ndarray] | None:
@@ -206,6 +229,10 @@ def opened(one: np.ndarray, two: np.ndarray, column: pa.Array, window: int) -> t
     x, y = w.hash[own], w.check[own]
     n = len(x)
     code, keys, often = codes_of(x, y)
+    order = np.argsort(-often, kind="stable")  # common words have small codes
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code, keys, often = rank[code], keys[order], often[order]
     at = np.concatenate([[0], np.cumsum(counts[text])])
     return Part(one, two, text, np.zeros(len(text), np.int64), at, code, np.ones(n, np.uint64), np.arange(n), np.ones(n, np.int64), np.arange(n), np.arange(n) + 1, np.zeros(n, bool), code.copy()), keys, often
 
@@ -289,26 +316,33 @@ def _tidy(run):
     return inner
 
 
-def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame:
-    """A round: every distinct key of the corpus gets one name, that of its first place; then windows with a word or symbol
-    of one place go, and the next symbols are parsed, unless this is the last round."""
+def _named(sequence: DataFrame, turn: int, last: bool, window: int, store: Store) -> DataFrame:
+    """A round: over every distinct key of the corpus Spark finds those with one place, whose windows go, and those that
+    share their 64 bits with others (96 bits tell them apart), which get names of their own. Then the next symbols are
+    parsed, unless this is the last round."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seg, own, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                pair = np.frombuffer(own, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"seg": pa.array(np.full(len(pair), seg)), "code": pa.array(np.arange(len(pair), dtype=np.int32)), "c": pa.array(np.frombuffer(counts, np.int32)), "x": pa.array(pair[:, 0]), "y": pa.array(pair[:, 1])})
-
-    each = sequence.select("seg", "keys", "counts").mapInArrow(tidy(keys), "seg long, code int, c int, x long, y long")
-    each = each.withColumn("who", (F.monotonically_increasing_id() + 1) * 8 + turn % 8)  # a symbol has a row for each segment it is in
-    over = W.partitionBy("x", "y")
-    named = each.withColumns({"total": F.sum("c").over(over), "name": F.min("who").over(over)}).where("total > 1").select("seg", "code", "name")
+            for seg, x, y, c in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), strict=True):
+                x, y, c = (np.frombuffer(v.as_buffer(), kind) for v, kind in ((x, np.int64), (y, np.int32), (c, np.int32)))
+                at = (seg << CODE_BITS) + np.arange(len(x))
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "at": pa.array(at), "many": pa.array(c > 1)})
+
+    each = sequence.select("seg", "keys", "checks", "counts").mapInArrow(tidy(keys), "x long, y int, at long, many boolean")  # a key has a row for each segment it is in
+    told = each.groupBy("x").agg(F.count("*").alias("c"), F.max("many").alias("many"), F.min("at").alias("at"), F.min("y").alias("a"), F.max("y").alias("b")).where("(c = 1 AND NOT many) OR a < b")
+    told = store.keep(told, f"told{turn}")
+    store.drop()
+    named = told.where("c = 1").select("at", F.lit(0).cast("long").alias("name"))
+    clash = told.where("a < b").select("x")
+    if clash.limit(1).count():
+        named = named.unionByName(each.join(narrow(clash), "x").select("at", F.xxhash64(F.lit(turn), "x", "y").alias("name")))
+    named = named.select(F.expr(f"shiftright(at, {CODE_BITS})").alias("seg"), F.expr(f"int(at & {(1 << CODE_BITS) - 1})").alias("code"), "name")
 
     def settle(body: pa.Table, named: pa.Table) -> pa.Table:
         rows = []
-        if len(body):  # a segment may have no names to wait for
+        if len(body):  # a segment may have no names to hear of
             part = Part.unpack(body.column("body")[0])
-            names = np.zeros(body.column("n")[0].as_py(), np.uint64)
+            names = np.frombuffer(body.column("keys")[0].as_buffer(), np.uint64).copy()
             names[named.column("code").to_numpy()] = named.column("name").to_numpy().view(np.uint64)
             if turn == 0:
                 part.word = names[part.word]
@@ -320,7 +354,14 @@ def _named(sequence: DataFrame, turn: int, last: bool, window: int) -> DataFrame
                 rows.append(part.row(body.column("seg")[0].as_py(), keys, often))
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    return sequence.select("seg", "n", "body").groupBy("seg").cogroup(named.groupBy("seg")).applyInArrow(_tidy(settle), SEQUENCE)
+    parts = []  # some of the segments at a time: the shuffle files of the others are not on disk meanwhile
+    for n in range(TURNS):
+        mine = F.col("seg") % TURNS == n
+        done = sequence.where(mine).select("seg", "keys", "body").groupBy("seg").cogroup(named.where(mine).groupBy("seg")).applyInArrow(_tidy(settle), SEQUENCE)
+        parts.append(store.keep(done, f"round{turn + 1}-{n}"))
+        store.drop()
+    store.drop(f"round{turn}", f"told{turn}", *(f"round{turn}-{n}" for n in range(TURNS)))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -332,8 +373,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     judged on the input. Words are runs of other characters than space and \\t to \\r.
 
     Copies of a text lose all words if it has a window; one of them stands for all
-    beside other texts. Texts and words are known by 128 bits, symbols by names that Spark
-    gives, windows by 128 bits of their words' names. Null texts have no words and stay
+    beside other texts. Texts are known by 128 bits, words by names that Spark has
+    found to be theirs alone, windows by 128 bits of their words' names. Null texts have no words and stay
     null in text; kept is empty for them. Rows that repeat in every column repeat in the
     result. A segment holds whole texts, so a text takes memory in proportion.
     """
@@ -347,10 +388,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     flagged = source.join(narrow(copies), ["a", "b"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId() << SEGMENT_BITS
         for batch in batches:
             for part in pieces(batch, "t", SEGMENT_BYTES):
                 if made := opened(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), window):
-                    yield pa.RecordBatch.from_pylist([made[0].row(uuid.uuid4().int >> 66, *made[1:])], _SCHEMA)
+                    yield pa.RecordBatch.from_pylist([made[0].row(seg, *made[1:])], _SCHEMA)
+                    seg += 1
 
     # 1. recompression, a round at a time
     plain = flagged.where(F.col("t").isNotNull())
@@ -358,8 +401,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     sequence = store.keep(distinct.mapInArrow(tidy(read), SEQUENCE), "round0")
     rounds = rounds_of(window)
     for turn in range(rounds + 1):  # of words, then of symbols
-        sequence = store.keep(_named(sequence, turn, turn == rounds, window), f"round{turn + 1}")
-        store.drop(f"round{turn}")
+        sequence = _named(sequence, turn, turn == rounds, window, store)
 
     # 2. reveal: groups of windows by symbol and context
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +445,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     alone = kinds.where("c > 1").select(*kinds_of, *(F.lit(-1).alias(m) for m in masks_of))
     masks = store.keep(alone.unionByName(masks.join(alone, kinds_of, "left_anti")), "masks")
     hits = store.keep(shared.join(masks, kinds_of).groupBy("a", "b").agg(F.collect_list(F.struct("first", "count", *masks_of)).alias("hits")), "hits")  # a text's own groups
-    store.drop("twice", "several", "repeated", "shared", "kinds", "spelt", "masks", f"round{rounds + 1}")
+    store.drop("twice", "several", "repeated", "shared", "kinds", "spelt", "masks", *(f"round{rounds + 1}-{n}" for n in range(TURNS)))
 
     # 4. remove: words that a repeated window covers
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
