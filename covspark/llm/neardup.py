@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
         store.drop(f"own{turn}")
     links = seen.where("linked").select("id", "pivot")
     own = F.struct("f", "g", "n")
-    several = store.keep(whole.groupBy("k").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("k"), "several")
+    several = store.keep(rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("k"), "several")
     if several.limit(1).count():  # texts of one key are linked by it
         texts = whole.join(several, "k", "left_semi").join(classes.select("f", "g", "n", "id"), ["f", "g", "n"]).select("k", "id").distinct()
         links = links.unionByName(texts.join(texts.groupBy("k").agg(F.min("id").alias("pivot")), "k").where("id != pivot").select("id", "pivot"))
