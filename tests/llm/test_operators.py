@@ -237,27 +237,58 @@ def test_substrings_of_other_windows(spark, window):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == brute_repeats(texts, window)
 
 
+def moments(groups, prior):
+    """The strength of a prior over groups of evidence, by moments, with each group's own prior mean."""
+    means = [np.mean(g) for g in groups]
+    between = np.mean([(m - q) ** 2 for m, q in zip(means, prior, strict=True)])
+    inside = np.mean([max(np.mean(np.square(g)) - m * m, 0) / len(g) for g, m in zip(groups, means, strict=True)])
+    return between - inside
+
+
 def test_quality(spark, docs, none):
+    """Posteriors and scores from the evidence, by plain loops."""
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, len(TEXTS), 2)] + [(0, None), (2, 0)], "doc_id long, quality int")
-    out = quality.score(docs, labels, F.col("source"), F.col("lang")).toPandas()
-    assert len(out) == len(TEXTS) and out["score"].between(0, 1).all()
-    p = out["doc_evidence"]
-    sums = out.groupby(["host", "path"], dropna=False)["doc_evidence"].agg(["count", "sum"])
-    hosts = out.groupby("host", dropna=False)["host_posterior"].nunique()
-    assert (hosts == 1).all()
-    # posteriors lie between a group's own mean and the level above
-    overall = p.mean()
-    for host, own in out.groupby("host", dropna=False):
-        mean = own["doc_evidence"].mean()
-        low, high = sorted((mean, overall))
-        assert low - 1e-9 <= own["host_posterior"].iloc[0] <= high + 1e-9, host
-    assert len(sums) == out.groupby(["host", "path"], dropna=False).ngroups
-    odds = p / (1 - p) * (out["path_posterior"] / (1 - out["path_posterior"])) / (overall / (1 - overall))
-    assert np.allclose(out["score"], odds / (1 + odds), atol=1e-6)
+    got = quality.score(docs, labels, F.col("source"), F.col("lang")).collect()
+    assert len(got) == len(TEXTS)
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_host[r.host].append(r.doc_evidence)
+        by_path[r.host, r.path].append(r.doc_evidence)
+    overall = np.mean([r.doc_evidence for r in got])
+    strength = lambda spread: 1e4 if spread <= 0 else float(np.clip(overall * (1 - overall) / spread - 1, 1, 1e4))
+    a = strength(moments(list(by_host.values()), [overall] * len(by_host)))
+    hosts = {h: (sum(g) + a * overall) / (len(g) + a) for h, g in by_host.items()}
+    b = strength(moments(list(by_path.values()), [hosts[h] for h, _ in by_path]))
+    for r in got:
+        p, g, h = r.doc_evidence, by_path[r.host, r.path], by_host[r.host]
+        others = (sum(h) - p + a * overall) / (len(h) - 1 + a)
+        path = (sum(g) - p + b * others) / (len(g) - 1 + b)
+        odds = p / (1 - p) * path / (1 - path) / (overall / (1 - overall))
+        assert np.allclose([r.host_posterior, r.path_posterior, r.score], [hosts[r.host], path, odds / (1 + odds)], rtol=1e-6)
+        assert r.kept == (r.score >= 0.5)
     assert quality.score(none, labels, F.col("source"), F.col("lang")).count() == 0
     assert quality.score(docs, labels.where("false"), F.col("source"), F.col("lang")).where("doc_evidence != 0.5").count() == 0
 
 
+def test_quality_of_texts_not_fitted_on(spark):
+    """Accuracy on held-out labels; a sparse site says little, a rich one tells where texts don't."""
+    rnd = random.Random(8)
+    good, bad = ["reason", "theory", "result", "measure"], ["click", "win", "cheap", "now"]
+    data = []
+    for i in range(600):
+        y = rnd.random() < 0.5
+        words = rnd.choices(good if y else bad, k=12) + rnd.choices(["and", "of", "it"], k=20)
+        data.append((i, " ".join(rnd.sample(words, len(words))), f"http://{'a' if y else 'b'}{i % 3}.org/{'x' if i % 2 else 'y'}/p{i}.html", int(y)))
+    data.append((1000, "reason theory result measure and of it", "https://www.lone.org/z", 1))
+    docs = spark.createDataFrame([r[:3] for r in data], "doc_id long, text string, url string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in data if r[0] % 5], "doc_id long, quality int")
+    got = rows(quality.score(docs, labels, quality.host_of(F.col("url")), quality.path_of(F.col("url"))))
+    held = [r for r in data if r[0] % 5 == 0]
+    assert sum(got[r[0]].kept == r[3] for r in held) / len(held) >= 0.95
+    assert {(got[0].host, got[0].path)} <= {("a0.org", "/y"), ("b0.org", "/y")} and (got[1000].host, got[1000].path) == ("lone.org", "/")
+    assert abs(got[1000].host_posterior - np.mean([r.doc_evidence for r in got.values()])) < 0.2
+
+
 def test_chat_round_trip(spark):
     evil = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nhi", "100% %25 %3C", "", None, "<|im_", "line\nline\n", "%"]
     data = [(c, t, ["user", "assistant", "system", None, "a\nb"][(c + t) % 5], evil[(c * 3 + t) % len(evil)], "x") for c in range(12) for t in range(c % 6 + 1)]
@@ -536,3 +567,111 @@ def test_windows_are_hashed_by_their_values():
         for i, h in enumerate(got):
             assert want.setdefault(tuple(values[i : i + length]), h) == h
         assert len(got) == 3001 - length and len(set(want.values())) == len(want)
+
+
+# --- the registered queries, column by column, over tables of every kind of row
+
+
+@pytest.fixture(scope="module")
+def query_tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("queries"))
+    items = [("b1", " ".join(TEXTS[55].split()[3:30])), ("b2", "Naïve OF one, two!"), ("b10", TEXTS[52].upper()), ("b3", None), ("b4", "one two")]
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", [None, "", "a</s>b", "<|im_end|>\n", "é\n"][(c + t) % 5]) for c in range(9) for t in range(c % 4 + 1)]
+    rng = np.random.default_rng(1)
+    vectors = [(i, rng.normal(size=16).tolist()) for i in range(301)] + [(400, None), (500, [0.0] * 16), (None, [1.0] * 16)]
+    spark.createDataFrame([(i, t, ["en", "fr", None][i % 3], f"s{i % 4}", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([*talks, (None, 0, "user", "x"), (20, None, "user", "no turn")], "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return folder, items, [*talks, (None, 0, "user", "x"), (20, None, "user", "no turn")], vectors
+
+
+def test_query_of_decontamination(spark, query_tables):
+    folder, items, *_ = query_tables
+    got = rows(decontam.op1_decontaminate(spark, folder))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = PLAIN.findall(lower(t))
+        for k in range(max(1, len(w) - 9)) if w else []:
+            windows[tuple(w[k : k + 10])].add(i)
+    for i, t in enumerate(TEXTS):
+        w, hit, found = PLAIN.findall(lower(t)), set(), set()
+        for own, ids in windows.items():
+            for k in range(len(w) - len(own) + 1):
+                if tuple(w[k : k + len(own)]) == own:
+                    hit |= set(range(k, k + len(own)))
+                    found |= ids
+        near = sum(brute_near(t, x, decontam.SLACK) for _, x in items)
+        assert tuple(got[i])[1:] == (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit), near)
+
+
+def test_query_of_substrings(spark, query_tables):
+    got = rows(substrings.op3_substrings(spark, query_tables[0]))
+    assert [tuple(got[i])[1:] for i in range(len(TEXTS))] == [(n, gone, sha(kept)) for n, gone, kept in brute_repeats(TEXTS)]
+
+
+def test_query_of_chats(spark, query_tables):
+    got = {r.conv_id: r for r in chat.op5_chat(spark, query_tables[0]).collect()}
+    want = defaultdict(list)
+    for c, t, r, x in [*query_tables[2], (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        want[c].append((-1 if t is None else t, r, x or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        turns.sort()
+        learned = "".join(x for _, r, x in turns if r == "assistant")
+        assert tuple(got[c])[1:5] == (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(learned), sha(learned))
+        assert got[c].formatted_chars >= len(learned)
+
+
+def test_query_of_near_duplicates(spark, query_tables):
+    got = rows(neardup.op6_neardup(spark, query_tables[0]))
+    assert [tuple(got[i]) for i in range(len(TEXTS))] == [(i, n, c, c == i) for i, (n, c) in enumerate(brute_groups(TEXTS))]
+
+
+def test_query_of_languages_and_shards_and_tokens(spark, query_tables):
+    folder = query_tables[0]
+    found = rows(langid.op7_language(spark, folder))
+    for i, t in enumerate(TEXTS):
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= found[i].score <= 1
+        assert (found[i].lang_pred == "und") == (not re.search(r"[^\W\d_]", t or "")) and found[i].lang_pred in ("en", "fr", "und")
+    dealt = rows(shards.op8_shards(spark, folder))
+    assert all(dealt[i].size == len((t or "").encode()) + 1 and dealt[i].law == "bytes" and dealt[i].grown_shard is None for i, t in enumerate(TEXTS))
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    told = rows(bpe.op9_byte_bpe(spark, folder))
+    counted = tokencount.op2_token_counts(spark, folder).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.doc_id: r.n for r in counted} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS)}
+    assert all(tuple(told[i])[1:] == (len(x), sha(" ".join(map(str, x))), sha(t or "")) for i, t in enumerate(TEXTS) for x in [enc.encode_ordinary(t or "")])
+
+
+def test_query_of_nearest(spark, query_tables):
+    got = ann.op10_nearest(spark, query_tables[0]).collect()
+    good = {i: np.array(v) for i, v in query_tables[3][:301]}
+    assert {r.query_id for r in got} == {0, 100, 200, 300} and len(got) == 40
+    hit = 0
+    for q in (0, 100, 200, 300):
+        want = sorted((float(np.sqrt(((v - good[q]) ** 2).sum())), i) for i, v in good.items() if i != q)[:10]
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        hit += len({i for _, i in want} & {i for _, i, _ in own})
+        assert [x[0] for x in own] == list(range(1, 11)) and all(abs(s - np.sqrt(((good[i] - good[q]) ** 2).sum())) < 1e-12 for _, i, s in own)
+    assert hit >= 38
+
+
+def test_words_of_one_hash_get_names_of_their_own(spark):
+    """A Spark round tells apart two words whose 64 bits are the same."""
+    import pyarrow as pa
+
+    from covspark.llm.store import Store
+
+    segments = []
+    for seg, text in enumerate(["alpha p q r s", "beta p q r s", "alpha p q r t"]):
+        ids = np.array([seg])
+        part, keys, often = substrings.opened(ids, ids, pa.array([text]), 4)
+        keys[part.code[0], 0] = 12345  # alpha and beta
+        segments.append(tuple(part.row(seg, keys, often).values()))
+    sequence = spark.createDataFrame(segments, substrings.SEQUENCE)
+    done = substrings._named(sequence, 0, True, 4, Store(spark, "clash")).collect()
+    parts = {r.seg: substrings.Part.unpack(pa.scalar(r.body)) for r in done}
+    first = {seg: int(p.word[0]) for seg, p in parts.items()}
+    assert first[0] == first[2] != first[1] and 0 not in first.values()
+    assert {int(p.word[1]) for p in parts.values()} == {int(parts[0].word[1])}
