@@ -203,7 +203,7 @@ def test_substrings(spark, docs, none):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(TEXTS))] == want
     assert sum(x[1] for x in want) > 500
     assert substrings.remove_repeats(none).count() == 0
-    for window in (10, 100):
+    for window in (10,):
         got = rows(substrings.remove_repeats(docs, window=window))
         assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(TEXTS))] == brute_repeats(TEXTS, window)
 
@@ -213,6 +213,7 @@ def test_substrings_of_few_words(spark, seed, monkeypatch):
     """Few distinct words: runs, periods and overlaps everywhere."""
     rnd = random.Random(seed)
     monkeypatch.setattr(substrings, "SEGMENT_BYTES", 300 << 12 * seed)
+    monkeypatch.setattr(substrings, "TURNS", 3)
     texts = [" ".join(rnd.choices("ab", weights=[1, 9], k=rnd.randint(30, 120))) for _ in range(30)]
     texts += [" ".join(["a"] * 34), " ".join(["a"] * 35), " ".join(["b"] * 36), " ".join(["a", "b"] * 40), " ".join(["a", "b", "c"] * 13)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -220,7 +221,7 @@ def test_substrings_of_few_words(spark, seed, monkeypatch):
     assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == brute_repeats(texts)
 
 
-@pytest.mark.parametrize("window", [4, 31, 60, 130])
+@pytest.mark.parametrize("window", [4, 64, 130])
 def test_substrings_of_other_windows(spark, window):
     """Groups of more windows than an integer has bits, several kinds to a context."""
     rnd = random.Random(window)
