@@ -57,9 +57,9 @@ def symbols(texts: list[str | None], codes: np.ndarray) -> tuple[np.ndarray, np.
 class Automaton(NamedTuple):
     """The suffix automaton of a language's sample, for greedy parsing.
 
-    Entry [state, column] of table is 4 * width * next + phrases that end there:
-    none while the match goes on; one when it breaks and the symbol starts
-    another; two when the symbol occurs nowhere and is a phrase of its own.
+    Entry [state, column] of table is 4 * width * next, plus one if a phrase starts
+    at the symbol: at the root, and where the match breaks. The symbol then starts
+    another match, or is a phrase of its own if it occurs nowhere.
     The language's letters beyond its DENSE commonest are ranked: their
     transitions are the sorted keys width * state * ranks + rank, with their
     entries, and fresh holds the entries of a break. A bound on states (twice the
@@ -73,10 +73,10 @@ class Automaton(NamedTuple):
     entries: np.ndarray
     fresh: np.ndarray
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The entries of states, each given as width * state, at symbols."""
-        v = self.table[state + self.column[symbol]]
-        if len(self.rank):
+    def step(self, state: np.ndarray, column: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
+        """The entries of states, each given as width * state, at symbols in columns; symbols where any is ranked."""
+        v = self.table[state + column]
+        if symbol is not None:
             rank = self.rank[symbol]
             rare = np.flatnonzero(rank >= 0)
             if len(rare):
@@ -128,14 +128,14 @@ def automaton(s: list[int], kinds: int) -> Automaton:
     for state, to in enumerate(follow):
         for c, q in to.items():
             if ranked and rank[c] >= 0:
-                sparse.append((width * state * len(ranked) + int(rank[c]), 4 * width * q))
+                sparse.append((width * state * len(ranked) + int(rank[c]), 4 * width * q + (state == 0)))
             else:
                 out[state, column[c]] = q
     sparse.sort()
     fresh = out[0]
-    again = np.where(fresh >= 0, 4 * width * fresh + 1, 2)
+    again = np.where(fresh >= 0, 4 * width * fresh, 0) + 1
     whole = np.where(out >= 0, 4 * width * out, again)
-    whole[0] = np.where(fresh >= 0, 4 * width * fresh, 1)
+    whole[0] = again
     keys, entries = np.array(sparse, np.int64).reshape(-1, 2).T.copy()
     starts = np.array([4 * width * follow[0][c] + 1 for c in ranked], np.int32)
     return Automaton(column, rank, whole.astype(np.int32).ravel(), keys, entries.astype(np.int32), starts)
@@ -168,23 +168,25 @@ def _parse(s: np.ndarray, table: Automaton, begin: np.ndarray, stop: np.ndarray,
     for each parse the first such place at or after stop (limit, where the text ends first). With
     met, a parse ends as well where it comes to a place that is marked there."""
     exits, found = limit.copy(), []
+    columns, ranked = table.column[s], len(table.rank) > 0
     own = np.flatnonzero(begin < limit)
-    p, state = begin[own], np.zeros(len(own), np.int32)
+    p, state, stop, limit = begin[own], np.zeros(len(own), np.int32), stop[own], limit[own]
     while len(own):
-        v = table.step(state, s[p])
-        start = (state == 0) | ((v & 3) > 0)
-        over = start & (p >= stop[own])
+        v = table.step(state, columns[p], s[p] if ranked else None)
+        start = (v & 1).astype(bool)
+        over = p >= stop
         if met is not None:
-            over |= start & met[p]
+            over |= met[p]
+        over &= start
         if over.any():
             exits[own[over]] = p[over]
             left = ~over
-            own, p, v, start = own[left], p[left], v[left], start[left]
+            own, p, v, start, stop, limit = own[left], p[left], v[left], start[left], stop[left], limit[left]
         found.append(p[start])
         p, state = p + 1, v >> 2
-        more = p < limit[own]
+        more = p < limit
         if not more.all():
-            own, p, state = own[more], p[more], state[more]
+            own, p, state, stop, limit = own[more], p[more], state[more], stop[more], limit[more]
     return np.concatenate([np.zeros(0, np.int64), *found]), exits
 
 
