@@ -1,7 +1,7 @@
 """Substring dedup by recompression.
 
 Words get names, and texts become sequences of names. In each round runs of a name,
-of any length, and then pairs of a left and a right name, twice, become symbols. Spark
+of any length, and then pairs of a left and a right name become symbols. Spark
 looks at every distinct one of the whole corpus: its name is a hash of what it stands
 for, unless another has that too, and it is dropped if it occurs once. Equal
 words far enough inside equal texts so become equal symbols everywhere, and a window
@@ -27,7 +27,7 @@ from .scan import joined, mix, pieces, ranges, signed, starts, tidy, white_words
 from .store import BROADCAST_ROWS, Store, narrow, table
 
 WINDOW = 35
-PAIRS = 2  # times that a round names pairs, after runs
+PAIRS = 1  # times that a round names pairs, after runs
 SEGMENT_BYTES = 1 << 21  # of text in a segment, whose symbols a task holds at once; one text at least
 TURNS = 4  # parts of the segments that a round settles one after another
 SEGMENT_BITS, CODE_BITS = 16, 27  # segments of a partition (128 GB), distinct words of one
