@@ -41,3 +41,18 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
     got = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     assert got == sorted(map(repr, want)) and got
+
+
+@pytest.mark.parametrize("name", ["audit_executions", "audit_alone"])
+def test_audit_addresses_of_users_beyond_a_byte(spark, tmp_path, name):
+    users = [3, 255, 256, 800, 1499, 65536, 89999]
+    events = [(i, users[i // 2 % 7], ["signup", "click"][i % 2] if i % 3 else "click") for i in range(200)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(u, f"Customer#{u}") for u in users], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any("10.0.0.89999:443" in repr(r) for r in got)
