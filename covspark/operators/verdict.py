@@ -75,12 +75,17 @@ def _hit(op: str, text: str, needle: str) -> str:
 
 
 def _needle(op: str, text: str, needle: str, partial: str | None) -> str:
-    """Of a partial path only the last segment can be compared: where that agrees, nothing is known."""
+    """Of a partial path only the last segment can be compared: where that agrees, nothing is known.
+
+    A path that ends with a needle which names a directory has the needle's whole last segment.
+    """
     hit = _hit(op, text, needle)
     end = max(needle.rfind("/"), needle.rfind("\\")) + 1
     if not partial or not end:
         return hit
-    return f"(CASE WHEN {hit} THEN true WHEN {text} IS NULL THEN NULL WHEN NOT {partial} THEN false WHEN {_hit(op, sql.last_segment(text), needle[end:])} THEN NULL ELSE false END)"
+    last = sql.last_segment(text)
+    agrees = f"{last} = {sql.lit(needle[end:])}" if op == "endswith" else _hit(op, last, needle[end:])
+    return f"(CASE WHEN {hit} THEN true WHEN {text} IS NULL THEN NULL WHEN NOT {partial} THEN false WHEN {agrees} THEN NULL ELSE false END)"
 
 
 def search(own: Search, e: str) -> str:
