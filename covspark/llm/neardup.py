@@ -221,23 +221,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
     half = store.keep(classes.select("id", "n", F.posexplode("halves").alias("pos", "half")), "half")
     shared = half.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("half")
     live = half.join(shared, "half", "left_semi").groupBy("id", "n").agg(F.collect_list(F.when(F.col("pos") < side, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("pos") >= side, F.col("half"))).alias("right"))
+    live = store.keep(live, "live")
     keyed = live.select("id", "n", F.explode("left").alias("x"), "right").select("id", "n", "x", F.explode("right").alias("y")).select("id", "n", F.xxhash64("x", "y").alias("key"))
     keyed = store.keep(keyed, "keyed")
     store.drop("half")
-    tables = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("last")).where("p.id < last")
-    members = store.keep(keyed.join(tables.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "key"), "members")
+    tables = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    shared = store.keep(keyed.join(tables.select("key", "c"), "key"), "shared")
     store.drop("keyed")
+    weights = store.keep(shared.groupBy("id").agg(F.sum("c").alias("w")), "weights")  # a family's centre shares keys with most of it
+    members = store.keep(shared.drop("c").join(narrow(weights), "id"), "members")
+    store.drop("shared")
 
     linker = _Linker(source, store, percent)
-    linker.load(store.keep(classes.join(narrow(members.select("id").distinct()), "id", "left_semi").select("id", "at.*"), "asked"))
-    votes = members.where((F.col("id") != F.col("pivot")) & linker.fits("n", "m")).groupBy("id", "pivot").agg(F.count("*").alias("votes"))
+    linker.load(store.keep(classes.join(narrow(weights.select("id")), "id", "left_semi").select("id", "at.*"), "asked"))
+    heads = members.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"))
+    votes = members.join(heads, "key").where((F.col("id") != F.col("pivot")) & linker.fits("n", "m")).groupBy("id", "pivot").agg(F.count("*").alias("votes"))
     nth = F.row_number().over(W.partitionBy("id").orderBy(F.desc("votes"), "pivot"))  # at most side**2 rows an id
     seen = linker.verify(votes.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("id", "pivot"))
     for turn in range(1, STAR_ROUNDS + 1):
         labels = components(seen.where("linked"), store, f"label{turn}")
-        own = store.keep(members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), f"own{turn}")
-        spot = F.struct("label", "id", "n")
-        mixed = store.keep(own.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a.label < b.label"), f"mixed{turn}")
+        own = store.keep(members.join(labels, "id", "left").select("key", "id", "n", "w", F.coalesce("label", "id").alias("label")), f"own{turn}")
+        most = store.keep(own.groupBy("key", "label").agg(F.max(F.struct("w", "id", "n")).alias("s")).select("key", F.struct("s.w", "s.id", "s.n", "label").alias("s")), f"most{turn}")
+        one = most.groupBy("key").agg(F.max("s").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+        mixed = store.keep(most.join(one, "key").where("s.label != a.label").groupBy("key", "a").agg(F.max("s").alias("b")), f"mixed{turn}")
+        store.drop(f"most{turn}")
         if not mixed.limit(1).count():
             break
         if turn < STAR_ROUNDS:
@@ -245,11 +252,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, e
             pivots = pivots.where((F.col("label") != F.col("p.label")) & linker.fits("n", "p.n")).groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("votes"))
             pairs = pivots.withColumn("nth", nth).where(F.col("nth") <= PARTNERS * (turn + 1)).select("id", "pivot")
         else:
-            held = linker.hopeful(own.join(mixed.select("key"), "key", "left_semi"))
-            other = held.select("key", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("v").alias("w"), F.col("cells").alias("theirs"), F.col("label").alias("its"))
+            held = linker.hopeful(own.drop("w").join(mixed.select("key"), "key", "left_semi")).join(live.select("id", "left", "right"), "id")
+            other = held.select("key", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("v").alias("w"), F.col("cells").alias("theirs"), F.col("label").alias("its"), F.col("left").alias("lefts"), F.col("right").alias("rights"))
+            # of the keys that a pair shares one makes it: that of the least halves on either side
+            own_key = F.xxhash64(F.array_min(F.array_intersect("left", "lefts")), F.array_min(F.array_intersect("right", "rights")))
             both = F.aggregate(F.zip_with("cells", "theirs", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
             enough = [x * (100 + percent) >= (F.col("n") + F.col("m")) * percent for x in (F.least("v", "w"), both)]
-            pairs = held.join(other, "key").where((F.col("label") < F.col("its")) & linker.fits("n", "m") & enough[0] & enough[1]).select("id", "pivot")
+            pairs = held.join(other, "key").where((F.col("label") < F.col("its")) & linker.fits("n", "m") & enough[0] & enough[1] & (F.col("key") == own_key)).select("id", "pivot")
         ordered = [F.least("id", "pivot").alias("pivot"), F.greatest("id", "pivot").alias("id")]
         fresh = store.keep(pairs.select(*ordered).distinct().join(seen.select(*ordered), ["id", "pivot"], "left_anti"), f"fresh{turn}")
         if fresh.limit(1).count():
