@@ -102,7 +102,7 @@ class Words:
 
 
 def words(column: pa.Array, inside: np.ndarray, fold: bool = False, versions: int = 1) -> Words:
-    """All words of every text, hashed once or in two versions; a word ends with its text."""
+    """All words of every text, hashed once, in two versions or not at all; a word ends with its text."""
     data, at = utf8(column)
     begins, ends, hashes = [], [], [[] for _ in range(versions)]
     fresh = np.zeros(len(data) + 1, bool)
@@ -126,22 +126,24 @@ def words(column: pa.Array, inside: np.ndarray, fold: bool = False, versions: in
         end = own.copy()
         end[:-1] &= ~own[1:] | new[1:-1]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        size = e - s
-        place = np.arange(b - a, dtype=np.int32) - np.repeat(np.concatenate([[0], s]).astype(np.int32), np.diff(np.concatenate([[0], s, [b - a]])))
-        spot = ((place & (SPOTS - 1)) << 8) | part
-        far = np.flatnonzero((place >= SPOTS) & own) if len(size) and size.max() > SPOTS else None
-        for version, found in enumerate(hashes):
-            values = byte_values(fold, version)[spot]
-            if far is not None:
-                values[far] = mix(values[far] + (place[far] >> 6).astype(np.uint64) * _BASE)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(values, out=sums[1:])
-            found.append(mix(sums[e] - sums[s] + size.astype(np.uint64)))
+        if versions:
+            size = e - s
+            place = np.arange(b - a, dtype=np.int32) - np.repeat(np.concatenate([[0], s]).astype(np.int32), np.diff(np.concatenate([[0], s, [b - a]])))
+            spot = ((place & (SPOTS - 1)) << 8) | part
+            far = np.flatnonzero((place >= SPOTS) & own) if len(size) and size.max() > SPOTS else None
+            for version, found in enumerate(hashes):
+                values = byte_values(fold, version)[spot]
+                if far is not None:
+                    values[far] = mix(values[far] + (place[far] >> 6).astype(np.uint64) * _BASE)
+                sums = np.zeros(b - a + 1, np.uint64)
+                np.cumsum(values, out=sums[1:])
+                found.append(mix(sums[e] - sums[s] + size.astype(np.uint64)))
         begins.append(s + a)
         ends.append(e + a)
         a = b
     begin, end, *hashed = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((begins, np.int64), (ends, np.int64), *((x, np.uint64) for x in hashes)))
-    return Words(data, np.searchsorted(begin, at), begin, end, hashed[0], hashed[-1] if versions > 1 else np.zeros(0, np.uint64))
+    none = np.zeros(0, np.uint64)
+    return Words(data, np.searchsorted(begin, at), begin, end, hashed[0] if versions else none, hashed[-1] if versions > 1 else none)
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -188,6 +190,11 @@ def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - before, count)
 
 
+def trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, whose worker hands its memory back when a partition ends: Spark reuses workers for other operators."""
 
@@ -197,8 +204,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             yield from run(batches)
         finally:
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no trim
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return inner
 
