@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covspark.llm import bpe, decontam, langid, neardup, substrings
-from covspark.llm.store import Store, narrow, prepare, table
+from covspark.llm.store import Store, narrow, prepare, sweep, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,6 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, null and empty ones too; lang becomes the language found, and stays where none could be learned."""
     prepare(spark)
+    sweep(spark)
     found = langid.identify(docs, carry=True).where("lettered")
     lang = F.when(F.col("lang_pred") == "und", F.col("row.lang")).otherwise(F.col("lang_pred"))
     return found.select(*(lang.alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
@@ -35,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     near-duplicate. Of rows alike in doc_id and text any one stays; texts without words stay.
     """
     prepare(spark)
+    sweep(spark)
     store = Store(spark, "stage")
     one, two = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")  # a row by 128 bits
     keyed = docs.withColumn("row__", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), one.alias("one"), two.alias("two")))
@@ -53,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go from texts, whose other words one space then parts; every row stays, null texts as they are."""
     prepare(spark)
+    sweep(spark)
     found = substrings.remove_repeats(docs, carry=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -61,6 +64,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a window of a benchmark item go, those without a doc_id too; null texts stay."""
+    prepare(spark)
+    sweep(spark)
     keyed = docs.withColumn("row__", F.struct(F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")))
     store = Store(spark, "stage")
     found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="row__", store=store)
@@ -71,6 +76,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and digests of the ids and of the bytes decoded from them."""
     prepare(spark)
+    sweep(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ids=True)
 

@@ -147,17 +147,32 @@ def phrases(tests: Tests, terms: np.ndarray, lists: list[np.ndarray], bounds: np
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
+def covered(n: np.ndarray, hit: pa.Array) -> np.ndarray:
+    """Of texts of so many words each, how many words their spans (begin, size) cover."""
+    at = np.asarray(hit.offsets).astype(np.int64)
+    begin, size = (np.asarray(hit.values.field(i))[at[0] : at[-1]] for i in (0, 1))
+    at -= at[0]
+    base = np.concatenate([[0], np.cumsum(n + 1)])
+    owner = np.repeat(np.arange(len(n)), np.diff(at))
+    marks = np.bincount(base[owner] + begin, minlength=int(base[-1]) + 1) - np.bincount(base[owner] + begin + size, minlength=int(base[-1]) + 1)
+    sums = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+    return (sums[base[1:]] - sums[base[:-1]]).astype(np.int64)
+
+
 def _per_text(text: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def search(index: DataFrame, tests: Tests, slack: int = 0) -> DataFrame:
-    """key, n_words, hit (first ordinals and lengths within the text), items and near (those with a proximity match), for each text of the index.
+    """key, n_words, n_hit, hit (first ordinals and lengths within the text), items and near (those with a proximity match), for each text of the index.
 
     Only postings of test terms leave the index; a segment's meet in one task.
     """
     spark = index.sparkSession
-    asked = spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(signed(tests.terms).tolist())] + [(None, None, -1)], "term long, check long, number int")
+    numbers = signed(tests.terms)
+    none = np.arange(len(numbers) + 1) == len(numbers)  # the row without a term
+    # as an Arrow table: rows of Python objects would go through workers of another kind, which then stay
+    asked = spark.createDataFrame(pa.table({"x": pa.array(np.append(numbers[:, 0], 0), mask=none), "y": pa.array(np.append(numbers[:, 1], 0), mask=none), "number": pa.array(np.where(none, -1, np.arange(len(none))).astype(np.int32))}))
     shared = spark.sparkContext.broadcast(tests)
     kind = index.schema["keys"].dataType.elementType.simpleString()
 
@@ -185,10 +200,10 @@ def search(index: DataFrame, tests: Tests, slack: int = 0) -> DataFrame:
         exact = items(row, text)
         if slack:
             row, _, text = phrases(tests, number[order][1:], lists, bounds, slack)
-        return pa.table({"segment": pa.array(np.full(n, whole["segment"][0].as_py())), "nth": pa.array(np.arange(n)), "k": keys, "n_words": pa.array(np.diff(bounds)), "hit": hit, "items": exact, "near": items(row, text) if slack else exact})
+        return pa.table({"segment": pa.array(np.full(n, whole["segment"][0].as_py())), "nth": pa.array(np.arange(n)), "k": keys, "n_words": pa.array(np.diff(bounds)), "n_hit": pa.array(covered(np.diff(bounds), hit)), "hit": hit, "items": exact, "near": items(row, text) if slack else exact})
 
-    kind = f"segment long, nth long, k {kind}, n_words long, hit array<struct<begin:long,size:long>>, items array<string>, near array<string>"
-    met = index.join(F.broadcast(asked.withColumnsRenamed({"term": "x", "check": "y"})), F.col("term").eqNullSafe(F.col("x")) & F.col("check").eqNullSafe(F.col("y")))  # at most BLOCK_WORDS terms
+    kind = f"segment long, nth long, k {kind}, n_words long, n_hit long, hit array<struct<begin:long,size:long>>, items array<string>, near array<string>"
+    met = index.join(F.broadcast(asked), F.col("term").eqNullSafe(F.col("x")) & F.col("check").eqNullSafe(F.col("y")))  # at most BLOCK_WORDS terms
     return met.select("segment", "number", "places", "keys").groupBy("segment").applyInArrow(run, kind)
 
 
@@ -215,27 +230,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         hashes = item_words(block.column("t").combine_chunks()) if len(block) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64))
         part = search(index, Tests(block.column("i").to_pylist(), *hashes, window), slack)
         found.append(store.keep(part, f"found{b}") if blocks > 1 else part)
-    every = found[0]
-    if len(found) > 1:  # each block returns every text, known by its segment and place there
-        for more in found[1:]:
-            every = every.unionByName(more)
-        every = every.groupBy("segment", "nth", "k", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, n = batch.column(2), batch.column(1).to_numpy()
-            at = np.asarray(hit.offsets).astype(np.int64)
-            begin, size = (np.asarray(hit.values.field(i))[at[0] : at[-1]] for i in (0, 1))
-            at -= at[0]
-            base = np.concatenate([[0], np.cumsum(n + 1)])
-            owner = np.repeat(np.arange(len(n)), np.diff(at))
-            marks = np.bincount(base[owner] + begin, minlength=int(base[-1]) + 1) - np.bincount(base[owner] + begin + size, minlength=int(base[-1]) + 1)
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((covered[base[1:]] - covered[base[:-1]]).astype(np.int64)), hit, batch.column(3), batch.column(4)], ["k", "n_words", "n_hit", "spans", "items", "near"])
-
-    kind = every.schema["k"].dataType.simpleString()
-    out = every.select("k", "n_words", "hit", "items", "near").mapInArrow(tidy(cover), f"k {kind}, n_words long, n_hit long, spans array<struct<begin:long,size:long>>, items array<string>, near array<string>")
-    return out.select(F.col("k").alias(key), "n_words", "n_hit", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near")), "spans")
+            n = covered(batch.column(1).to_numpy(), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *batch.columns[2:]], ["k", "n_words", "n_hit", "hit", "items", "near"])
+
+    out = found[0]
+    if len(found) > 1:  # each block returns every text, known by its segment and place there
+        for more in found[1:]:
+            out = out.unionByName(more)
+        out = out.groupBy("segment", "nth", "k", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")))
+        kind = out.schema["k"].dataType.simpleString()
+        out = out.select("k", "n_words", "hit", "items", "near").mapInArrow(tidy(cover), f"k {kind}, n_words long, n_hit long, hit array<struct<begin:long,size:long>>, items array<string>, near array<string>")
+    return out.select(F.col("k").alias(key), "n_words", "n_hit", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near")), F.col("hit").alias("spans"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,8 +252,7 @@ def _samples(rows: DataFrame) -> dict[str, list[str]]:
     most = max(1, min(SAMPLE_PIECES, ALL_PIECES // langs))
     places = good.selectExpr("l", "k", "h", f"explode(sequence(0, (length(t) - 1) div {PIECE})) AS i").distinct()
     nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k", "h", "i"), "k", "h", "i"))
-    chosen = places.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").toPandas()
-    asked = rows.sparkSession.createDataFrame(chosen, places.schema).withColumnsRenamed({"l": "lang", "k": "key", "h": "hash"})
+    asked = places.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("l").alias("lang"), F.col("k").alias("key"), F.col("h").alias("hash"), "i")
     got = good.join(F.broadcast(asked), (F.col("l") == F.col("lang")) & (F.col("k") == F.col("key")) & (F.col("h") == F.col("hash")))  # at most ALL_PIECES rows, or the languages
     got = got.selectExpr("l", "k", "h", "i", f"substring(t, int(i * {PIECE} + 1), {PIECE}) AS t").distinct().toPandas().sort_values(["l", "k", "h", "i"])
     return {x: own["t"].tolist() for x, own in got.groupby("l")}

@@ -23,6 +23,15 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Executors collect their garbage and hand back heap and buffers that what ran before has left: a JVM doesn't by itself.
+
+    As many tasks as there are cores reach every executor that is idle; of collections asked for at once a JVM does one.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one, which a cluster can't share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
